@@ -1,14 +1,14 @@
-"""Shared pieces: words, let-bindings inside expressions, and tables in the shared folder."""
+"""Shared pieces: reading tables, words, and let-bindings inside expressions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import discard, materialise, scratch_path, shared_dir  # noqa: F401
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
@@ -17,34 +17,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftgraph/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the shared folder, which outlives any executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table of materialise() that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates value once for each row and hands it to body, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -69,3 +41,38 @@ def without_separators(text: Column) -> Column:
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+#: Borders of ranges come from a sample of about this many keys a range, chosen by a hash of the key.
+SAMPLED = 32
+#: Bounds what the driver holds for the borders: SAMPLED * MAX_RANGES numbers.
+MAX_RANGES = 20_000
+
+
+def borders(keys: DataFrame, key: str, ranges: int, rows: int) -> list[int]:
+    """Fewer than ``ranges`` ascending keys that cut the table into ranges of about equal counts.
+
+    They depend on the keys alone, not on how the input is partitioned.
+    """
+    ranges = min(ranges, MAX_RANGES)
+    step = max(1, rows // (ranges * SAMPLED))
+    chosen = keys.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(step)) == 0)).select(key).distinct()
+    found = sorted(r[0] for r in chosen.collect())
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are at most the key (a null key: none), by binary search."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*[F.lit(c).cast("long") for c in cuts]) if len(cuts) < 500 else F.from_json(F.lit(str(cuts)), "array<bigint>")
+
+    def step(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        right = F.get(at["table"], middle) <= at["key"]
+        moved = F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(middle).alias("high"), at["key"].alias("key"), at["table"].alias("table"))
+        return F.when(at["low"] < at["high"], moved).otherwise(at)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"), key.alias("key"), table.alias("table"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step, lambda at: at["low"])
+    return F.when(key.isNull(), 0).otherwise(found)

@@ -6,8 +6,14 @@ import importlib
 
 #: Modules with QUERIES (and maybe ORACLE_SQL), by operator number.
 MODULES = (
+    "chat_tree",
     "line_quality",
+    "mixing",
+    "near_dedup",
     "sharding",
+    "fingerprint",
+    "private_data",
+    "warc",
 )
 
 
