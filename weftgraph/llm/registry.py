@@ -12,6 +12,7 @@ MODULES = (
     "near_dedup",
     "sharding",
     "fingerprint",
+    "pieces",
     "private_data",
     "warc",
 )
