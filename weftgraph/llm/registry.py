@@ -7,6 +7,7 @@ import importlib
 #: Modules with QUERIES (and maybe ORACLE_SQL), by operator number.
 MODULES = (
     "chat_tree",
+    "licenses",
     "line_quality",
     "mixing",
     "near_dedup",
