@@ -31,6 +31,8 @@ from .common import SEPARATORS, let, materialise, read, text_of, total, without_
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, SHARE, MIN_LEFT = 10, 0.05, 0.3
 SYMBOLS = "#*$%&|<>"
+#: Most boilerplate lines (24 bytes each) that are broadcast.
+BROADCAST_LINES = 100_000
 
 
 def lines_with_words(text: Column) -> Column:
@@ -125,17 +127,35 @@ def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, shar
 def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows that are kept, with boilerplate lines removed from text and n_chars (if there) set anew.
 
-    Verdicts meet the texts by (doc_id, content hash, host), which repeated rows share.
+    The same rules as in :func:`assess`. A host has fewer than (mean lines of a document) / share
+    boilerplate lines, however large it is, so their table is small; if its counted rows are at most
+    BROADCAST_LINES it is broadcast and texts don't move. Beyond that it meets the texts by a shuffle
+    on the host's lines' documents.
     """
-    key = [F.col("doc_id"), F.xxhash64(text_of("text")), F.col(host)]
-    verdicts = _verdicts(_digests(docs, host), min_docs, share, min_left).select(F.struct("doc_id", "_content", "_host").alias("_key"), "kept", "_removed")
-    verdicts = verdicts.groupBy("_key").agg(F.first("kept").alias("_kept"), F.first("_removed").alias("_removed"))
-    # doc_id spreads the join; the rest of the key rides along null-safely.
-    rows = docs.withColumn("_mine", F.struct(key[0].alias("doc_id"), key[1].alias("_content"), key[2].alias("_host")))
-    joined = rows.join(verdicts.where("_kept"), rows["_mine"].eqNullSafe(verdicts["_key"]))
-    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("_removed"), F.xxhash64(normal_line(x))))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    out = joined.withColumn("text", text)
+    slim = docs.select("doc_id", F.col(host).alias("_host"), text_of("text").alias("_text"))
+    slim = slim.select("doc_id", "_host", F.xxhash64("_text").alias("_content"), F.transform(lines_with_words(F.col("_text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"))).alias("_lines"))
+    slim = materialise(slim, "line-hashes")
+    found = materialise(_boilerplate(slim, min_docs, share), "boilerplate")
+    rows = docs.withColumns({"_host": F.col(host), "_id": F.col("doc_id")})
+    if found.count() <= BROADCAST_LINES:
+        by_host = found.groupBy("_of").agg(F.collect_list(F.struct("_line", "_first")).alias("_bad"))
+        rows = rows.join(F.broadcast(by_host), rows["_host"].eqNullSafe(by_host["_of"]), "left")
+        bad = F.transform(F.filter("_bad", lambda b: ~F.col("_id").eqNullSafe(b["_first"])), lambda b: b["_line"])
+    else:
+        lines = slim.select("doc_id", "_host", F.explode("_lines.h").alias("h")).distinct()
+        hits = lines.join(found, lines["_host"].eqNullSafe(found["_of"]) & (lines["h"] == found["_line"])).where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+        hits = hits.groupBy(F.struct("doc_id", "_host").alias("_key")).agg(F.collect_set("h").alias("_bad"))
+        rows = rows.join(hits, F.struct(F.col("_id").alias("doc_id"), F.col("_host")).eqNullSafe(F.col("_key")), "left")
+        bad = F.col("_bad")
+    text = text_of("text")
+    split = F.split(text, "\n", -1)
+    # A line without words is never boilerplate: its normal form is empty and was not counted.
+    stays = F.when(F.coalesce(F.size("_bad"), F.lit(0)) <= 0, text).otherwise(let(bad, lambda b: F.array_join(F.filter(split, lambda x: ~F.array_contains(b, F.xxhash64(normal_line(x)))), "\n")))
+    rows = rows.withColumns({"_stays": stays, "_words": words(text)})
+    n = F.size("_words")
+    failed = (n < MIN_WORDS) | (100 * repeated_words(F.col("_words")) > MAX_REPEAT_PERCENT * n)
+    depleted = F.length(without_separators(F.col("_stays"))) < min_left * F.length(without_separators(text))
+    out = rows.where(~failed & ~depleted).withColumn("text", F.col("_stays"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
