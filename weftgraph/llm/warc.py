@@ -112,13 +112,17 @@ class _File:
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], uri: str, roll_bytes: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard and key; a shard lies in one partition."""
+    """Rows come sorted by shard and key; a shard lies in one partition. A note tells what the pages after it refer to."""
     where, folder = _open_fs(uri)
-    current, shard, number = None, None, 0
+    current, shard, number, note = None, None, 0, None
     try:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "page_id", "url", "html", "digest", "refers_to", "revisit")]
-            for s, page_id, url, html, digest, refers_to, revisit in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "page_id", "url", "html", "digest", "refers_to", "note")]
+            for s, page_id, url, html, digest, refers_to, is_note in zip(*columns, strict=True):
+                if is_note:
+                    note = (page_id, digest, refers_to)
+                    continue
+                revisit = note is not None and note[:2] == (page_id, digest)
                 if current is not None and (s != shard or current.bytes >= roll_bytes):
                     number = number + 1 if s == shard else 0
                     yield _manifest_row(current.commit())
@@ -127,7 +131,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], uri: str, roll_bytes: int) ->
                     number = number if s == shard else 0
                     shard = s
                     current = _File(where, folder, f"part-{s:05d}-{number:05d}.warc.gz")
-                current.add(page_id, record(page_id, url, (html or "").encode(), digest, refers_to, revisit))
+                current.add(page_id, record(page_id, url, (html or "").encode(), digest, note[2] if revisit else None, revisit))
         if current is not None:
             last, current = current, None
             yield _manifest_row(last.commit())
@@ -156,13 +160,13 @@ def write(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, revisit_from
     big = slim.where(F.col("bytes") >= revisit_from)
     later = big.join(same, big["digest"] == same["_digest"]).where("page_id < top OR page_id IS NULL AND top IS NOT NULL")
     later = later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("top").alias("refers_to")).distinct()
-    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"))
-    rows = rows.join(later, rows["page_id"].eqNullSafe(later["_id"]) & (rows["digest"] == later["_digest"]), "left")
-    rows = rows.withColumn("revisit", F.col("refers_to").isNotNull()).drop("_id", "_digest")
+    # Notes on revisits travel to the shards beside the pages and sort before them: payloads move once.
+    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("note"))
+    notes = later.select(F.col("_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("_digest").alias("digest"), "refers_to", F.lit(True).alias("note"))
     shard = range_of(F.col("page_id"), cuts)
     parts = max(1, min(len(cuts) + 1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    dealt = rows.withColumn("shard", shard).repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts)))
-    dealt = dealt.sortWithinPartitions("shard", "page_id", "url", "digest")
+    dealt = rows.union(notes).withColumn("shard", shard).repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts)))
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "digest", F.desc("note"), "url")
     manifest = dealt.mapInArrow(lambda it: _write_part(it, uri, roll_bytes), MANIFEST)
     listed = sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["file"])  # a row for each file
     temporary = f"{folder}/.tmp-manifest-{uuid.uuid4().hex}"
