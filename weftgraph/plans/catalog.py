@@ -1,11 +1,209 @@
-"""Every graph query of the library by name, and the SQL that states the same result."""
+"""Every graph query of the library by name, and the SQL that states the same result.
+
+The graph is that of parts bought in one order (see sources.tables), unless a query says otherwise.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.minhash import signature
+from ..operators import cliques, focus, matching, partitioning, pregel, tasks, triangles
+from ..operators.graph import Graph
+from ..sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = 8
+#: Edges of at least this many shared orders carry weight in the focused-cluster queries.
+FOCUS = focus.Focus(min_weight=2.0, min_core=4, min_result=3, diff_ratio=0.001, max_rounds=10, candidates=3.0)
+#: Where whole clique searches would explode (the smallest tables are nearly half of a complete graph).
+VORONOI = partitioning.Voronoi(rate=0.01, max_hop=10, max_cell=600, max_rate=0.2)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.parts_bought_together(spark, sf_dir)
+
+
+def _on_graph(make: Callable[[Graph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: make(_graph(spark, sf_dir))
+
+
+def _degree_stats(g: Graph) -> DataFrame:
+    d = g.degrees()
+    return d.agg(F.count("*").alias("vertices"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.sum("degree").alias("total"))
+
+
+def _strong(g: Graph, weight: int) -> Graph:
+    return Graph(g.vertices, g.edges.where(F.col("weight") >= weight))
+
+
+def _hash_sizes(g: Graph) -> DataFrame:
+    return partitioning.hash_parts(g.vertices, PARTS).groupBy("part_id").agg(F.count("*").alias("vertices"))
+
+
+def _by_modulus(g: Graph) -> DataFrame:
+    return g.vertices.select("vid", F.pmod(F.col("vid"), F.lit(37)).alias("color"))
+
+
+def _block_info(g: Graph) -> DataFrame:
+    info = partitioning.block_info(g, _by_modulus(g))
+    return info.select("color", "size", F.size("neighbours").cast("long").alias("n_neighbours"))
+
+
+def _nation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.components import connected_components
+
+    found = connected_components(tables.customers_by_nation(spark, sf_dir))
+    return found.groupBy("component").agg(F.count("*").alias("vertices"))
+
+
+def _pregel_reach(g: Graph) -> DataFrame:
+    """Hops from the smallest part, by messages."""
+    least = g.vertices.agg(F.min("vid")).first()[0]
+    start = g.vertices.select("vid", F.when(F.col("vid") == least, 0).cast("int").alias("value"), (F.col("vid") == least).alias("active"))
+    done = pregel.pregel(start, g.sym().select("src", "dst"), lambda v: v + 1, F.min, lambda old, new: F.least(old, new))
+    return done.groupBy(F.coalesce("value", F.lit(-1)).alias("hops")).agg(F.count("*").alias("vertices"))
+
+
+def _tc_tasks(g: Graph) -> DataFrame:
+    return tasks.triangle_program(g.greater()).agg(F.coalesce(F.sum("triangles"), F.lit(0)).alias("triangles"))
+
+
+def _voronoi_check(g: Graph) -> DataFrame:
+    colors = partitioning.blocks(g, VORONOI)
+    return colors.groupBy("color").agg(F.count("*").alias("size"))
+
+
+def _bdg_assign(g: Graph) -> DataFrame:
+    return partitioning.block_parts(g, PARTS, VORONOI).groupBy("part_id").agg(F.count("*").alias("vertices"))
+
+
+def _fco_seed_cores(g: Graph) -> DataFrame:
+    return focus.cores(focus.neighbourhoods(g), FOCUS).select("vid", F.size("core").alias("core_size"))
+
+
+def _cd_seeds(g: Graph) -> DataFrame:
+    return cliques.community_seeds(g, 3).select("vid", F.size("gt").alias("candidates"), F.size("attrs").alias("attrs"))
+
+
+def _minhash(g: Graph) -> DataFrame:
+    signed = g.greater().select("vid", signature(F.col("gt"), 4, 1 << 20, seed=5).alias("s"))
+    return signed.select("vid", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(4)])
+
+
+QUERIES: dict[str, Query] = {
+    "degree_stats": _on_graph(_degree_stats),
+    "edge_weights": _on_graph(lambda g: g.edges.groupBy("weight").agg(F.count("*").alias("edges"))),
+    "tc_array": _on_graph(triangles.count_by_lists),
+    "tc_join": _on_graph(triangles.count_by_joins),
+    "tc_per_vertex": _on_graph(triangles.per_vertex),
+    "tc_per_seed": _on_graph(triangles.by_smallest),
+    "tc_tasks": _on_graph(_tc_tasks),
+    "clustering": _on_graph(triangles.clustering),
+    "k4_count": _on_graph(triangles.four_cliques),
+    "mc_size": _on_graph(lambda g: triangles.clique_levels(_strong(g, 2)).agg(F.max("size").alias("max_clique"))),
+    "mc_bnb": _on_graph(cliques.max_clique),
+    "gm_count": _on_graph(matching.count),
+    "gm_matches_by_a": _on_graph(matching.counts_by_a),
+    "gm_match_strong": _on_graph(lambda g: matching.match(_strong(g, 2), matching.LABELS, matching.EDGES)),
+    "label_nb_counts": _on_graph(matching.neighbour_labels),
+    "cd_seeds": _on_graph(_cd_seeds),
+    "cd_exact_triangles": _on_graph(cliques.common_attribute_triangles),
+    "cd_heuristic": _on_graph(lambda g: cliques.communities(g, 3)),
+    "fco_seed_cores": _on_graph(_fco_seed_cores),
+    "phi_scores": _on_graph(lambda g: focus.core_conductance(g, FOCUS)),
+    "fco_topk_candidates": _on_graph(lambda g: focus.first_candidates(g, FOCUS)),
+    "fco_clusters": _on_graph(lambda g: focus.clusters(g, FOCUS)),
+    "hash_partition_sizes": _on_graph(_hash_sizes),
+    "hash_cut_stats": _on_graph(lambda g: partitioning.cut_statistics(g, partitioning.hash_parts(g.vertices, PARTS))),
+    "cc_hashmin": _on_graph(lambda g: partitioning.components(_strong(g, 2))),
+    "cc_nations": _nation_components,
+    "pregel_hops": _on_graph(_pregel_reach),
+    "block_info": _on_graph(_block_info),
+    "block_histogram": _on_graph(lambda g: partitioning.block_histogram(partitioning.block_info(g, _by_modulus(g)))),
+    "voronoi_blocks": _on_graph(_voronoi_check),
+    "bdg_assign": _on_graph(_bdg_assign),
+    "minhash_signatures": _on_graph(_minhash),
+}
+
+_E = """e AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b
+  ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL),
+s AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e),
+v AS (SELECT p_partkey AS vid, chr(CAST(97 + p_partkey % 4 AS INTEGER)) AS label, [p_brand, p_type, 'S' || CAST(p_size // 10 AS VARCHAR)] AS attrs FROM part)"""
+_T = "t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst)"
+_PV = "pv AS (SELECT vid, count(*) AS triangles FROM (SELECT unnest([a, b, c]) AS vid FROM t) GROUP BY vid)"
+_GM = """l AS (SELECT s.src, s.dst, x.label AS ls, y.label AS ld FROM s JOIN v x ON x.vid = s.src JOIN v y ON y.vid = s.dst),
+k AS (SELECT src AS b, count(*) AS k FROM l WHERE ls = 'b' AND ld = 'd' GROUP BY src),
+cb AS (SELECT src AS c, dst AS b, coalesce(k, 0) AS k FROM l LEFT JOIN k ON k.b = l.dst WHERE ls = 'c' AND ld = 'b'),
+tot AS (SELECT c, sum(k) AS t FROM cb GROUP BY c),
+m AS (SELECT ab.src AS a, sum(tot.t - cb.k) AS matches FROM l ab JOIN l ac ON ab.src = ac.src AND ac.ls = 'a' AND ac.ld = 'c'
+  JOIN cb ON cb.c = ac.dst AND cb.b = ab.dst JOIN tot ON tot.c = ac.dst WHERE ab.ls = 'a' AND ab.ld = 'b' GROUP BY ab.src)"""
+_CORE = f"""h AS (SELECT src AS vid, dst AS m FROM s WHERE weight >= {FOCUS.min_weight}),
+sz AS (SELECT vid, count(*) + 1 AS core_size FROM h GROUP BY vid HAVING count(*) + 1 >= {FOCUS.min_core}),
+core AS (SELECT vid, core_size, m, row_number() OVER (PARTITION BY vid ORDER BY m) AS at FROM h JOIN sz USING (vid) UNION ALL SELECT vid, core_size, vid, 0 FROM sz)"""
+
+
+def _minhash_sql() -> str:
+    import random
+
+    from ..functions.minhash import is_prime
+
+    rng = random.Random(5)
+    prime = next(n for n in range(1 << 20, 1 << 21) if is_prime(n))
+    pairs = [(rng.randrange(1, prime), rng.randrange(prime)) for _ in range(4)]
+    columns = ", ".join(f"min((dst % {prime} * {a} + {b}) % {prime}) AS s{i}" for i, (a, b) in enumerate(pairs))
+    return f"WITH {_E} SELECT src AS vid, {columns} FROM e GROUP BY src"
+
+
+def _cliques_sql(weight: int) -> str:
+    return f"""WITH RECURSIVE {_E}, f AS (SELECT * FROM e WHERE weight >= {weight}), g AS (SELECT src, list(dst) AS gt FROM f GROUP BY src),
+q(k, cand) AS (SELECT 1, gt FROM g UNION ALL SELECT q.k + 1, list_intersect(q.cand, coalesce(g.gt, []::BIGINT[]))
+  FROM (SELECT k, cand, unnest(cand) AS x FROM q WHERE len(cand) > 0) q LEFT JOIN g ON g.src = q.x)
+SELECT CAST(max(k) AS INTEGER) AS max_clique FROM q"""
+
+
+def _components_sql(edges: str) -> str:
+    """vid, component of the edges' ends, by reachability."""
+    return f"r(vid, to_) AS (SELECT src, dst FROM {edges} UNION SELECT r.vid, x.dst FROM r JOIN {edges} x ON x.src = r.to_)"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "degree_stats": f"WITH {_E}, d AS (SELECT vid, count(src) AS degree FROM v LEFT JOIN s ON s.src = v.vid GROUP BY vid) SELECT count(*) AS vertices, min(degree) AS least, max(degree) AS most, CAST(sum(degree) AS BIGINT) AS total FROM d",
+    "edge_weights": f"WITH {_E} SELECT weight, count(*) AS edges FROM e GROUP BY weight",
+    "tc_per_vertex": f"WITH {_E}, {_T}, {_PV} SELECT vid, triangles FROM pv",
+    "tc_per_seed": f"WITH {_E}, {_T} SELECT a AS vid, count(*) AS triangles FROM t GROUP BY a",
+    "clustering": f"WITH {_E}, {_T}, {_PV}, d AS (SELECT src AS vid, count(*) AS degree FROM s GROUP BY src HAVING count(*) >= 2) SELECT vid, degree, coalesce(triangles, 0) AS triangles, 2.0::DOUBLE * coalesce(triangles, 0) / (degree * (degree - 1)) AS coefficient FROM d LEFT JOIN pv USING (vid)",
+    "k4_count": f"WITH {_E}, {_T}, g AS (SELECT src, list(dst) AS gt FROM e GROUP BY src) SELECT CAST(coalesce(sum(len(list_intersect(list_intersect(x.gt, y.gt), z.gt))), 0) AS BIGINT) AS four_cliques FROM t JOIN g x ON x.src = a JOIN g y ON y.src = b JOIN g z ON z.src = c",
+    "mc_size": _cliques_sql(2),
+    "mc_bnb": _cliques_sql(1),
+    "gm_count": f"WITH {_E}, {_GM} SELECT CAST(coalesce(sum(matches), 0) AS BIGINT) AS matches FROM m",
+    "gm_matches_by_a": f"WITH {_E}, {_GM} SELECT a, CAST(matches AS BIGINT) AS matches FROM m WHERE matches > 0",
+    "gm_match_strong": f"WITH {_E}, w AS (SELECT s.src, s.dst, x.label AS ls, y.label AS ld FROM s JOIN v x ON x.vid = s.src JOIN v y ON y.vid = s.dst WHERE weight >= 2) SELECT p.src AS a, p.dst AS b1, q.dst AS c, y.dst AS b2, z.dst AS d FROM w p JOIN w q ON q.src = p.src AND q.ls = 'a' AND q.ld = 'c' JOIN w x ON x.src = q.dst AND x.dst = p.dst JOIN w y ON y.src = q.dst AND y.ld = 'b' AND y.dst <> p.dst JOIN w z ON z.src = y.dst AND z.ld = 'd' WHERE p.ls = 'a' AND p.ld = 'b'",
+    "label_nb_counts": f"WITH {_E} SELECT src AS vid, label, count(*) AS neighbours FROM s JOIN v ON v.vid = s.dst GROUP BY src, label",
+    "cd_seeds": f"WITH {_E}, d AS (SELECT src FROM s GROUP BY src HAVING count(*) > 1) SELECT e.src AS vid, CAST(count(*) AS INTEGER) AS candidates, CAST(any_value(len(attrs)) AS INTEGER) AS attrs FROM e JOIN d USING (src) JOIN v ON v.vid = e.src GROUP BY e.src HAVING count(*) >= 2",
+    "cd_exact_triangles": f"WITH {_E}, {_T} SELECT a, b, c, CAST(len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) AS INTEGER) AS n_common FROM t JOIN v x ON x.vid = a JOIN v y ON y.vid = b JOIN v z ON z.vid = c WHERE len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) > 0",
+    "fco_seed_cores": f"WITH {_E}, {_CORE} SELECT vid, CAST(core_size AS INTEGER) AS core_size FROM sz",
+    "phi_scores": f"WITH {_E}, {_CORE}, x AS (SELECT c.vid, c.core_size, sum(CASE WHEN i.m IS NULL THEN s.weight ELSE 0 END) AS cut, sum(CASE WHEN i.m IS NOT NULL AND c.m < s.dst THEN s.weight ELSE 0 END) AS inside FROM core c JOIN s ON s.src = c.m LEFT JOIN core i ON i.vid = c.vid AND i.m = s.dst GROUP BY c.vid, c.core_size) SELECT vid, CAST(core_size AS INTEGER) AS core_size, CAST(cut AS DOUBLE) AS cut, CAST(inside AS DOUBLE) AS \"inner\", CASE WHEN inside <> 0 THEN CAST(cut AS DOUBLE) / CAST(inside AS DOUBLE) ELSE -1.0::DOUBLE END AS phi FROM x",
+    "fco_topk_candidates": f"WITH {_E}, {_CORE}, f AS (SELECT c.vid, c.core_size, s.dst AS candidate, min(at) AS at, CAST(arg_min(s.weight, at) AS DOUBLE) AS weight FROM core c JOIN s ON s.src = c.m WHERE NOT EXISTS (SELECT 1 FROM core i WHERE i.vid = c.vid AND i.m = s.dst) GROUP BY c.vid, c.core_size, s.dst), r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY weight DESC, at, candidate) AS place FROM f) SELECT vid, candidate, weight, CAST(place AS INTEGER) AS place FROM r WHERE place <= floor({FOCUS.candidates} * core_size)",
+    "hash_partition_sizes": f"SELECT CAST(abs(p_partkey) % {PARTS} AS INTEGER) AS part_id, count(*) AS vertices FROM part GROUP BY 1",
+    "hash_cut_stats": f"WITH {_E}, x AS (SELECT * FROM e WHERE src % {PARTS} <> dst % {PARTS}) SELECT (SELECT count(*) FROM x) AS cross_edges, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT u) FROM (SELECT src AS u FROM x UNION ALL SELECT dst FROM x)) AS boundary_vertices, (SELECT count(*) FROM v) AS vertices",
+    "cc_hashmin": f"WITH RECURSIVE {_E}, w AS (SELECT src, dst FROM s WHERE weight >= 2), {_components_sql('w')} SELECT v.vid, least(v.vid, coalesce(min(to_), v.vid)) AS component FROM v LEFT JOIN r ON r.vid = v.vid GROUP BY v.vid",
+    "cc_nations": "SELECT -1 - CAST(c_nationkey AS BIGINT) AS component, count(*) + 1 AS vertices FROM customer GROUP BY c_nationkey",
+    "pregel_hops": f"WITH RECURSIVE {_E}, h(vid, n) AS (SELECT min(vid), 0 FROM v UNION SELECT s.dst, h.n + 1 FROM h JOIN s ON s.src = h.vid WHERE h.n < 6), d AS (SELECT vid, min(n) AS n FROM h GROUP BY vid) SELECT CAST(coalesce(n, -1) AS INTEGER) AS hops, count(*) AS vertices FROM v LEFT JOIN d USING (vid) GROUP BY 1",
+    "block_info": f"WITH {_E}, n AS (SELECT src % 37 AS color, dst % 37 AS other FROM s UNION SELECT vid % 37, vid % 37 FROM v) SELECT v.vid % 37 AS color, count(DISTINCT v.vid) AS size, count(DISTINCT other) AS n_neighbours FROM v JOIN n ON n.color = v.vid % 37 GROUP BY 1",
+    "block_histogram": "SELECT CAST(length(CAST(size AS VARCHAR)) AS INTEGER) AS digits, count(*) AS blocks FROM (SELECT p_partkey % 37, count(*) AS size FROM part GROUP BY 1) GROUP BY 1",
+    "minhash_signatures": _minhash_sql(),
+}
+for _name in ("tc_array", "tc_join", "tc_tasks"):
+    ORACLE_SQL[_name] = f"WITH {_E}, {_T} SELECT count(*) AS triangles FROM t"
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
