@@ -19,7 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 PARTS = 8
 #: Edges of at least this many shared orders carry weight in the focused-cluster queries.
 FOCUS = focus.Focus(min_weight=2.0, min_core=4, min_result=3, diff_ratio=0.001, max_rounds=10, candidates=3.0)
-#: Where whole clique searches would explode (the smallest tables are nearly half of a complete graph).
+#: Growing clusters: on the graph of pairs that share two orders or more, where clusters end by themselves.
+GROW = focus.Focus(min_weight=3.0, min_core=2, min_result=2, diff_ratio=0.1, max_rounds=3, candidates=3.0)
 VORONOI = partitioning.Voronoi(rate=0.01, max_hop=10, max_cell=600, max_rate=0.2)
 
 
@@ -116,7 +117,7 @@ QUERIES: dict[str, Query] = {
     "fco_seed_cores": _on_graph(_fco_seed_cores),
     "phi_scores": _on_graph(lambda g: focus.core_conductance(g, FOCUS)),
     "fco_topk_candidates": _on_graph(lambda g: focus.first_candidates(g, FOCUS)),
-    "fco_clusters": _on_graph(lambda g: focus.clusters(g, FOCUS)),
+    "fco_clusters": _on_graph(lambda g: focus.clusters(_strong(g, 2), GROW)),
     "hash_partition_sizes": _on_graph(_hash_sizes),
     "hash_cut_stats": _on_graph(lambda g: partitioning.cut_statistics(g, partitioning.hash_parts(g.vertices, PARTS))),
     "cc_hashmin": _on_graph(lambda g: partitioning.components(_strong(g, 2))),
@@ -143,7 +144,7 @@ m AS (SELECT ab.src AS a, sum(tot.t - cb.k) AS matches FROM l ab JOIN l ac ON ab
   JOIN cb ON cb.c = ac.dst AND cb.b = ab.dst JOIN tot ON tot.c = ac.dst WHERE ab.ls = 'a' AND ab.ld = 'b' GROUP BY ab.src)"""
 _CORE = f"""h AS (SELECT src AS vid, dst AS m FROM s WHERE weight >= {FOCUS.min_weight}),
 sz AS (SELECT vid, count(*) + 1 AS core_size FROM h GROUP BY vid HAVING count(*) + 1 >= {FOCUS.min_core}),
-core AS (SELECT vid, core_size, m, row_number() OVER (PARTITION BY vid ORDER BY m) AS at FROM h JOIN sz USING (vid) UNION ALL SELECT vid, core_size, vid, 0 FROM sz)"""
+core AS (SELECT vid, core_size, m, row_number() OVER (PARTITION BY vid ORDER BY m) AS spot FROM h JOIN sz USING (vid) UNION ALL SELECT vid, core_size, vid, 0 FROM sz)"""
 
 
 def _minhash_sql() -> str:
@@ -187,7 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     "cd_exact_triangles": f"WITH {_E}, {_T} SELECT a, b, c, CAST(len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) AS INTEGER) AS n_common FROM t JOIN v x ON x.vid = a JOIN v y ON y.vid = b JOIN v z ON z.vid = c WHERE len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) > 0",
     "fco_seed_cores": f"WITH {_E}, {_CORE} SELECT vid, CAST(core_size AS INTEGER) AS core_size FROM sz",
     "phi_scores": f"WITH {_E}, {_CORE}, x AS (SELECT c.vid, c.core_size, sum(CASE WHEN i.m IS NULL THEN s.weight ELSE 0 END) AS cut, sum(CASE WHEN i.m IS NOT NULL AND c.m < s.dst THEN s.weight ELSE 0 END) AS inside FROM core c JOIN s ON s.src = c.m LEFT JOIN core i ON i.vid = c.vid AND i.m = s.dst GROUP BY c.vid, c.core_size) SELECT vid, CAST(core_size AS INTEGER) AS core_size, CAST(cut AS DOUBLE) AS cut, CAST(inside AS DOUBLE) AS \"inner\", CASE WHEN inside <> 0 THEN CAST(cut AS DOUBLE) / CAST(inside AS DOUBLE) ELSE -1.0::DOUBLE END AS phi FROM x",
-    "fco_topk_candidates": f"WITH {_E}, {_CORE}, f AS (SELECT c.vid, c.core_size, s.dst AS candidate, min(at) AS at, CAST(arg_min(s.weight, at) AS DOUBLE) AS weight FROM core c JOIN s ON s.src = c.m WHERE NOT EXISTS (SELECT 1 FROM core i WHERE i.vid = c.vid AND i.m = s.dst) GROUP BY c.vid, c.core_size, s.dst), r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY weight DESC, at, candidate) AS place FROM f) SELECT vid, candidate, weight, CAST(place AS INTEGER) AS place FROM r WHERE place <= floor({FOCUS.candidates} * core_size)",
+    "fco_topk_candidates": f"WITH {_E}, {_CORE}, f AS (SELECT c.vid, c.core_size, s.dst AS candidate, min(spot) AS spot, CAST(arg_min(s.weight, spot) AS DOUBLE) AS weight FROM core c JOIN s ON s.src = c.m WHERE NOT EXISTS (SELECT 1 FROM core i WHERE i.vid = c.vid AND i.m = s.dst) GROUP BY c.vid, c.core_size, s.dst), r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY weight DESC, spot, candidate) AS place FROM f) SELECT vid, candidate, weight, CAST(place AS INTEGER) AS place FROM r WHERE place <= floor({FOCUS.candidates} * core_size)",
     "hash_partition_sizes": f"SELECT CAST(abs(p_partkey) % {PARTS} AS INTEGER) AS part_id, count(*) AS vertices FROM part GROUP BY 1",
     "hash_cut_stats": f"WITH {_E}, x AS (SELECT * FROM e WHERE src % {PARTS} <> dst % {PARTS}) SELECT (SELECT count(*) FROM x) AS cross_edges, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT u) FROM (SELECT src AS u FROM x UNION ALL SELECT dst FROM x)) AS boundary_vertices, (SELECT count(*) FROM v) AS vertices",
     "cc_hashmin": f"WITH RECURSIVE {_E}, w AS (SELECT src, dst FROM s WHERE weight >= 2), {_components_sql('w')} SELECT v.vid, least(v.vid, coalesce(min(to_), v.vid)) AS component FROM v LEFT JOIN r ON r.vid = v.vid GROUP BY v.vid",
