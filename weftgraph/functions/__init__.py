@@ -1 +1 @@
-
+"""Expressions and helpers that operators share."""

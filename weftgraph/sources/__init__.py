@@ -1 +1 @@
-
+"""Readers and writers of graphs, and job options."""

@@ -1 +1 @@
-
+"""Reserved: graphs here are batch inputs, and no graph operator is defined over streams."""
