@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialise
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -15,6 +17,10 @@ class Graph:
     vertices: DataFrame
     edges: DataFrame
 
+    def stored(self) -> "Graph":
+        """The same graph with its edges written once to the shared folder, for operators that read them several times."""
+        return Graph(self.vertices, materialise(self.edges, "edges"))
+
     def sym(self) -> DataFrame:
         """Both directions of every edge."""
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
@@ -44,7 +50,8 @@ class Graph:
         a, b = degree.withColumnsRenamed({"_v": "_a", "_d": "_da"}), degree.withColumnsRenamed({"_v": "_b", "_d": "_db"})
         e = self.edges.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b"))
         swap = F.struct("_da", "src") > F.struct("_db", "dst")
-        return Graph(self.vertices, e.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst")))
+        oriented = e.select(F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+        return Graph(self.vertices, oriented).stored()
 
 
 def normalise(pairs: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ VORONOI = partitioning.Voronoi(rate=0.01, max_hop=10, max_cell=600, max_rate=0.2
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.parts_bought_together(spark, sf_dir)
+    return tables.parts_bought_together(spark, sf_dir).stored()
 
 
 def _on_graph(make: Callable[[Graph], DataFrame]) -> Query:
