@@ -12,9 +12,11 @@ sets of 64-bit shingle hashes.
 
 Scale. Copies with equal sets are one node. A bucket (documents with an equal band) never emits
 all its pairs: a few pivots are compared with the members that are not yet in their component,
-links are merged, and what is still split gets more pivots (4, 16, 64, ...) in the next round,
+links are merged, and what is still split gets more pivots (FAN, FAN**2, ...) in the next round,
 until every bucket lies in one component or each of its members has been a pivot. So no link is
-lost, yet a group of n near copies costs about n comparisons. Buckets, links and labels stay
+lost, yet a group of n near copies costs about n comparisons. Exact bounds spare near misses: of a
+candidate's n shingles at most s occur in any other candidate, so a pair shares at most the smaller
+s, and a document with too few such shingles has no link at all. Buckets, links and labels stay
 distributed, and every round is written to the shared folder.
 
 Defined cases: a null text is empty; a null doc_id is in no group (component_id null, kept);
@@ -37,6 +39,8 @@ from .common import discard, let, materialise, read, text_of, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROWS, MISS = 6, 1e-6
+#: Growth of a bucket's pivots from round to round.
+FAN = 16
 #: Rows of (shingle, shift) that are mixed at a time, so that they stay in the CPU's cache.
 BLOCK = 256
 
@@ -109,17 +113,36 @@ def _nodes(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return out
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, pivot) that are links. Each text moves once, each set once for each pivot."""
-    texts = docs.select("doc_id", "text")
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, pivot) that are links by their full sets."""
     goes = pairs.groupBy(F.col("a").alias("_id")).agg(F.collect_set("pivot").alias("_to"))
-    mine = texts.join(goes, texts["doc_id"] == goes["_id"]).select(F.col("_id").alias("a"), shingles(text_of("text"), k).alias("_a"), "_to")
+    mine = sets.join(goes, sets["rep"] == goes["_id"]).select(F.col("rep").alias("a"), F.col("set").alias("_a"), "_to")
     mine = mine.select("a", "_a", F.explode("_to").alias("pivot"))
     at = pairs.select(F.col("pivot").alias("_p")).distinct()
-    theirs = texts.join(at, texts["doc_id"] == at["_p"]).select("_p", shingles(text_of("text"), k).alias("_b"))
+    theirs = sets.join(at, sets["rep"] == at["_p"]).select("_p", F.col("set").alias("_b"))
     both = mine.join(theirs, mine["pivot"] == theirs["_p"])
     shared = both.select("a", "pivot", F.size(F.array_intersect("_a", "_b")).cast("long").alias("i"), (F.size("_a") + F.size("_b")).cast("long").alias("s"))
-    return shared.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "pivot")
+    return shared.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "pivot").distinct()
+
+
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """_id, own: how many shingles of a candidate no other candidate has (one row a candidate that has some)."""
+    each = sets.select("rep", F.explode("set").alias("h"))
+    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("_id")).where("c = 1")
+    return alone.groupBy("_id").agg(F.count("*").alias("own"))
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """vid, component after adding links to the components known so far."""
+    if labels is None:
+        return connected_components(links, "a", "pivot")
+    known = labels.select(F.col("vid").alias("_v"), F.col("component").alias("_c"))
+    ends = links.join(known, links["a"] == known["_v"], "left").select(F.coalesce("_c", "a").alias("a"), "pivot")
+    ends = ends.join(known, ends["pivot"] == known["_v"], "left").select("a", F.coalesce("_c", "pivot").alias("pivot"))
+    step = connected_components(ends, "a", "pivot").select(F.col("vid").alias("_v"), F.col("component").alias("_c"))
+    old = labels.join(step, labels["component"] == step["_v"], "left").select("vid", F.coalesce("_c", "component").alias("component"))
+    new = step.join(labels, step["_v"] == labels["vid"], "left_anti").select(F.col("_v").alias("vid"), F.col("_c").alias("component"))
+    return old.union(new)
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -127,43 +150,44 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     nodes = _nodes(docs, k, bands_for(percent))
     members = nodes.where("bands IS NOT NULL").select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     split = materialise(members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("key").alias("_key")), "nd-keys")
-    buckets = materialise(members.join(split, F.col("key") == F.col("_key")).select("key", "rep", "n", F.col("rep").alias("label")), "nd-buckets")
-    discard(split)
+    met = materialise(members.join(split, F.col("key") == F.col("_key")).select("key", "rep", "n"), "nd-met")
+    # The candidates' sets: texts move once, for documents that share a band with another.
+    wanted = met.select(F.col("rep").alias("_id")).distinct()
+    sets = materialise(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("rep"), shingles(text_of("text"), k).alias("set")), "nd-sets")
+    own = _shared_counts(sets)
+    buckets = met.join(own, met["rep"] == own["_id"], "left").select("key", "rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"), F.col("rep").alias("label"))
+    buckets = materialise(buckets.where(100 * F.col("s") >= percent * F.col("n")), "nd-buckets")
+    discard(split, met)
     labels, depth = None, 0
     while True:
-        state = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("first"), F.count("*").alias("m")).where("lo < hi")
-        state = materialise(state.select(F.col("key").alias("_key"), "first", "m"), "nd-open")
+        state = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(1 - F.col("s") / F.col("n"), "rep")).alias("f"), F.count("*").alias("m"), F.min("n").alias("least")).where("lo < hi")
+        state = materialise(state.select(F.col("key").alias("_key"), F.col("f.rep").alias("first"), "m", "least"), "nd-open")
         if state.isEmpty():
             discard(state, buckets)
             break
-        chance = F.pmod(F.xxhash64("key", "rep", F.lit(depth)), F.lit(1 << 30)) < F.lit(4.0**depth * (1 << 30)) / F.col("m")
+        chance = F.pmod(F.xxhash64("key", "rep", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(FAN**depth * (1 << 30))) / F.col("m")
         is_pivot = (F.col("rep") == F.col("first")) if depth == 0 else ((F.col("rep") == F.col("first")) | chance)
-        still = materialise(buckets.join(state, F.col("key") == F.col("_key")).select("key", "rep", "n", "label", is_pivot.alias("pivot")), "nd-still")
-        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("label").alias("_label"))
-        met = still.join(pivots, F.col("key") == F.col("_key")).where("label <> _label")
-        fits = (100 * F.col("n") >= percent * F.col("_n")) & (100 * F.col("_n") >= percent * F.col("n"))
+        # A partner has at least `least` shingles, and at most s of them are shared.
+        hopeful = 100 * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s"))
+        still = buckets.join(state, F.col("key") == F.col("_key")).where(hopeful | is_pivot)
+        still = materialise(still.select("key", "rep", "n", "s", "label", is_pivot.alias("pivot")), "nd-still")
+        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("label").alias("_label"))
+        most = F.least("s", "_s")
+        fits = 100 * most >= percent * (F.col("n") + F.col("_n") - most)
         # A pair of two pivots is met from both sides; the smaller id is then the pivot.
-        pairs = met.where(fits & (~F.col("pivot") | (F.col("rep") > F.col("_rep")))).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
+        once = ~F.col("pivot") | (F.col("rep") > F.col("_rep"))
+        pairs = still.join(pivots, (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_label")) & fits & once).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
         pairs = materialise(pairs, "nd-pairs")
-        links = materialise(_confirmed(docs, pairs, k, percent), "nd-links")
+        links = materialise(_confirmed(sets, pairs, percent), "nd-links")
         rest = still.where("NOT pivot").drop("pivot")
         if not links.isEmpty():
-            if labels is None:
-                merged = connected_components(links, "a", "pivot")
-            else:  # links between what is already merged
-                known = labels.select(F.col("vid").alias("_v"), F.col("component").alias("_c"))
-                ends = links.join(known, links["a"] == known["_v"], "left").select(F.coalesce("_c", "a").alias("a"), "pivot")
-                ends = ends.join(known, ends["pivot"] == known["_v"], "left").select("a", F.coalesce("_c", "pivot").alias("pivot"))
-                step = connected_components(ends, "a", "pivot").select(F.col("vid").alias("_v"), F.col("component").alias("_c"))
-                old = labels.join(step, labels["component"] == step["_v"], "left").select("vid", F.coalesce("_c", "component").alias("component"))
-                new = step.join(labels, step["_v"] == labels["vid"], "left_anti").select(F.col("_v").alias("vid"), F.col("_c").alias("component"))
-                merged = old.union(new)
-            labels = materialise(merged, "nd-labels")
+            labels = materialise(_merged(labels, links), "nd-labels")
         if labels is not None:
-            rest = rest.join(labels, rest["rep"] == labels["vid"], "left").select("key", "rep", "n", F.coalesce("component", "label").alias("label"))
-        following = materialise(rest.select("key", "rep", "n", "label"), "nd-buckets")
+            rest = rest.join(labels, rest["rep"] == labels["vid"], "left").select("key", "rep", "n", "s", F.coalesce("component", "label").alias("label"))
+        following = materialise(rest.select("key", "rep", "n", "s", "label"), "nd-buckets")
         discard(state, still, pairs, links, buckets)
         buckets, depth = following, depth + 1
+    discard(sets)
     out = nodes.select("doc_id", "n_shingles", "rep")
     if labels is not None:
         out = out.join(labels, out["rep"] == labels["vid"], "left")
