@@ -186,7 +186,7 @@ WITH RECURSIVE bits AS (
 tab AS (SELECT list(v ORDER BY k) AS t FROM bits WHERE i = 8),
 docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 crcs AS (SELECT doc_id, length(hx) // 2 + 8 AS size,
-  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT)),
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hx, '..'), lambda h: ('0x' || h)::BIGINT)),
     lambda acc, c: xor(acc >> 8, t[xor(acc & 255, c) + 1]))) AS text_crc32
   FROM docs, tab),
 side AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM documents))),
