@@ -11,6 +11,7 @@ MODULES = (
     "line_quality",
     "mixing",
     "near_dedup",
+    "near_dedup_sql",
     "sharding",
     "fingerprint",
     "pieces",
