@@ -16,7 +16,7 @@ links are merged, and what is still split gets more pivots (FAN, FAN**2, ...) in
 until every bucket lies in one component or each of its members has been a pivot. So no link is
 lost, yet a group of n near copies costs about n comparisons. Exact bounds spare near misses: of a
 candidate's n shingles at most s occur in any other candidate, so a pair shares at most the smaller
-s, and a document with too few such shingles has no link at all. Buckets, links and labels stay
+s, taken class by class of the shingles' hashes, and a document with too few has no link at all. Buckets, links and labels stay
 distributed, and every round is written to the shared folder.
 
 Defined cases: a null text is empty; a null doc_id is in no group (component_id null, kept);
@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import discard, let, materialise, read, text_of, words
+from .common import discard, let, materialise, read, text_of, total, words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROWS, MISS = 6, 1e-6
 #: Growth of a bucket's pivots from round to round.
 FAN = 16
+#: Classes of shingle hashes whose shared counts bound what a pair can share.
+CLASSES = 32
 #: Rows of (shingle, shift) that are mixed at a time, so that they stay in the CPU's cache.
 BLOCK = 256
 
@@ -126,10 +128,22 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared_counts(sets: DataFrame) -> DataFrame:
-    """_id, own: how many shingles of a candidate no other candidate has (one row a candidate that has some)."""
+    """_id, classes: for each of CLASSES classes of hashes, how many of a candidate's shingles another candidate has too."""
     each = sets.select("rep", F.explode("set").alias("h"))
-    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("_id")).where("c = 1")
-    return alone.groupBy("_id").agg(F.count("*").alias("own"))
+    alone = each.groupBy("h").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").select("rep", "h")
+
+    def counts(rows: DataFrame, sign: int) -> DataFrame:
+        of = F.pmod("h", F.lit(CLASSES))
+        return rows.groupBy("rep").agg(*[F.sum(F.when(of == c, sign).otherwise(0)).alias(f"c{c}") for c in range(CLASSES)])
+
+    both = counts(each, 1).union(counts(alone, -1))
+    sums = both.groupBy(F.col("rep").alias("_id")).agg(*[F.sum(f"c{c}").cast("int").alias(f"c{c}") for c in range(CLASSES)])
+    return sums.select("_id", F.array(*[f"c{c}" for c in range(CLASSES)]).alias("classes"))
+
+
+def _most_shared(a: Column, b: Column) -> Column:
+    """An upper bound of what two candidates share: they can share no more of a class than either has."""
+    return total(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("long")))
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -154,9 +168,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # The candidates' sets: texts move once, for documents that share a band with another.
     wanted = met.select(F.col("rep").alias("_id")).distinct()
     sets = materialise(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select(F.col("_id").alias("rep"), shingles(text_of("text"), k).alias("set")), "nd-sets")
-    own = _shared_counts(sets)
-    buckets = met.join(own, met["rep"] == own["_id"], "left").select("key", "rep", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s"), F.col("rep").alias("label"))
-    buckets = materialise(buckets.where(100 * F.col("s") >= percent * F.col("n")), "nd-buckets")
+    shared = _shared_counts(sets).withColumn("s", total(F.transform("classes", lambda x: x.cast("long"))))
+    buckets = met.join(shared, met["rep"] == shared["_id"]).where(100 * F.col("s") >= percent * F.col("n"))
+    buckets = materialise(buckets.select("key", "rep", "n", "s", "classes", F.col("rep").alias("label")), "nd-buckets")
     discard(split, met)
     labels, depth = None, 0
     while True:
@@ -170,21 +184,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         # A partner has at least `least` shingles, and at most s of them are shared.
         hopeful = 100 * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s"))
         still = buckets.join(state, F.col("key") == F.col("_key")).where(hopeful | is_pivot)
-        still = materialise(still.select("key", "rep", "n", "s", "label", is_pivot.alias("pivot")), "nd-still")
-        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("label").alias("_label"))
+        still = materialise(still.select("key", "rep", "n", "s", "classes", "label", is_pivot.alias("pivot")), "nd-still")
+        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("classes").alias("_classes"), F.col("label").alias("_label"))
         most = F.least("s", "_s")
         fits = 100 * most >= percent * (F.col("n") + F.col("_n") - most)
+        finer = _most_shared(F.col("classes"), F.col("_classes"))
+        fits_finely = 100 * finer >= percent * (F.col("n") + F.col("_n") - finer)
         # A pair of two pivots is met from both sides; the smaller id is then the pivot.
         once = ~F.col("pivot") | (F.col("rep") > F.col("_rep"))
-        pairs = still.join(pivots, (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_label")) & fits & once).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
+        on = (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_label")) & once & fits & fits_finely
+        pairs = still.join(pivots, on).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
         pairs = materialise(pairs, "nd-pairs")
         links = materialise(_confirmed(sets, pairs, percent), "nd-links")
         rest = still.where("NOT pivot").drop("pivot")
         if not links.isEmpty():
             labels = materialise(_merged(labels, links), "nd-labels")
         if labels is not None:
-            rest = rest.join(labels, rest["rep"] == labels["vid"], "left").select("key", "rep", "n", "s", F.coalesce("component", "label").alias("label"))
-        following = materialise(rest.select("key", "rep", "n", "s", "label"), "nd-buckets")
+            rest = rest.join(labels, rest["rep"] == labels["vid"], "left").select("key", "rep", "n", "s", "classes", F.coalesce("component", "label").alias("label"))
+        following = materialise(rest.select("key", "rep", "n", "s", "classes", "label"), "nd-buckets")
         discard(state, still, pairs, links, buckets)
         buckets, depth = following, depth + 1
     discard(sets)
