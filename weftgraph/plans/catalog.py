@@ -104,10 +104,12 @@ QUERIES: dict[str, Query] = {
     "clustering": _on_graph(triangles.clustering),
     "k4_count": _on_graph(triangles.four_cliques),
     "mc_size": _on_graph(lambda g: triangles.clique_levels(_strong(g, 2)).agg(F.max("size").alias("max_clique"))),
+    "mc_levels": _on_graph(triangles.clique_levels),
     "mc_bnb": _on_graph(cliques.max_clique),
     "gm_count": _on_graph(matching.count),
     "gm_matches_by_a": _on_graph(matching.counts_by_a),
     "gm_match_strong": _on_graph(lambda g: matching.match(_strong(g, 2), matching.LABELS, matching.EDGES)),
+    "gm_match": _on_graph(lambda g: matching.match(g, matching.LABELS, matching.EDGES)),
     "label_nb_counts": _on_graph(matching.neighbour_labels),
     "cd_seeds": _on_graph(_cd_seeds),
     "cd_exact_triangles": _on_graph(cliques.common_attribute_triangles),
@@ -119,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "hash_partition_sizes": _on_graph(_hash_sizes),
     "hash_cut_stats": _on_graph(lambda g: partitioning.cut_statistics(g, partitioning.hash_parts(g.vertices, PARTS))),
     "cc_hashmin": _on_graph(lambda g: partitioning.components(_strong(g, 2))),
+    "cc_parts": _on_graph(partitioning.components),
     "cc_nations": _nation_components,
     "pregel_hops": _on_graph(_pregel_reach),
     "block_info": _on_graph(_block_info),
