@@ -3,9 +3,12 @@
 Every paragraph is hashed by SHAKE-256 to a wide vector; a document's fingerprint is the sum of its
 paragraphs' vectors, lane by lane modulo 2**32. The sum does not depend on the order of paragraphs,
 and a paragraph is inserted or deleted by adding or subtracting its vector. Two parts make up the
-vector: WIDE lanes that every paragraph fills (equality), and BINS lanes of which each paragraph
-fills the one that its hash picks (likeness: of the bins that either document fills, the share
-that agree, so that a change of one paragraph disturbs one bin or two).
+vector: WIDE lanes that every paragraph fills (equality), and LEVELS times BINS lanes for likeness. A
+paragraph fills the one bin that its hash picks in level 0, and the same in each further level with half
+the chance of the level before, so that level l holds about one in 2**l of the paragraphs. Likeness reads
+the first level whose bins are not crowded: the share of paragraphs of either document that both have,
+from how many bins are filled and how many differ. It does not sink with the length of documents
+until the last level is crowded, at about 2**(LEVELS - 1) * BINS paragraphs.
 
 A paragraph is a line with a character besides white space, without white space at its ends.
 
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import borders, range_of, read, text_of
 
-WIDE, BINS = 64, 64
-LANES = WIDE + BINS
+WIDE, BINS, LEVELS = 64, 64, 12
+LANES = WIDE + BINS * LEVELS
+#: A level with more filled bins than this is crowded.
+CROWDED = 40
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Characters of text that are hashed at a time.
+#: Characters of text, and lanes, that are handled at a time.
 BATCH_CHARS = 1_000_000
 #: Bytes of text in a range.
 RANGE_BYTES = 16 << 20
@@ -47,10 +52,17 @@ def vector(paragraph: str) -> np.ndarray:
     lanes = np.frombuffer(raw, "<u4")
     out = np.zeros(LANES, np.uint32)
     out[:WIDE] = lanes[:WIDE]
-    out[WIDE + int(lanes[WIDE]) % BINS] = lanes[WIDE + 1]
+    for level in range(int(_levels(lanes[WIDE : WIDE + 1])[0])):
+        out[WIDE + level * BINS + int(lanes[WIDE]) % BINS] = lanes[WIDE + 1]
     return out
 
 
+def _levels(lane: np.ndarray) -> np.ndarray:
+    """How many levels hold each paragraph: one more than the zeros that end the part of its lane above the bin."""
+    rest = (lane // BINS) | np.uint32(1 << (LEVELS - 1))
+    return np.log2(rest & -rest).astype(np.int64) + 1
+
+
 def sums(lists: list[list[str]]) -> np.ndarray:
     """The sum of the vectors of each list; all lists' paragraphs are handled together."""
     size = 4 * (WIDE + 2)
@@ -62,7 +74,10 @@ def sums(lists: list[list[str]]) -> np.ndarray:
     if len(full):
         starts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
         out[full, :WIDE] = np.add.reduceat(lanes[:, :WIDE], starts, axis=0, dtype=np.uint32)
-        np.add.at(out, (owner, WIDE + lanes[:, WIDE] % BINS), lanes[:, WIDE + 1])
+        levels = _levels(lanes[:, WIDE])
+        for level in range(levels.max()):
+            held = np.flatnonzero(levels > level)
+            np.add.at(out, (owner[held], WIDE + level * BINS + lanes[held, WIDE] % BINS), lanes[held, WIDE + 1])
     return out
 
 
@@ -75,11 +90,20 @@ def delete(fingerprint: np.ndarray, paragraph: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of fingerprints: agreeing bins among those that either fills; 1 if both are empty."""
-    x, y = a[:, WIDE:], b[:, WIDE:]
-    either = ((x != 0) | (y != 0)).sum(axis=1)
-    agree = ((x == y) & (x != 0)).sum(axis=1)
-    return np.where((a == b).all(axis=1), 1.0, agree / np.maximum(either, 1))
+    """Of rows of fingerprints: the estimated share of paragraphs of either that both have; 1 if they are equal.
+
+    With n paragraphs in m bins a bin stays empty with chance (1 - 1/m)**n, and agrees with the other's if
+    none of the paragraphs that differ falls in it; so each count is the logarithm of a share of bins.
+    """
+    x, y = (v[:, WIDE:].reshape(-1, LEVELS, BINS) for v in (a, b))
+    filled = ((x != 0) | (y != 0)).sum(axis=2)
+    level = np.where((filled <= CROWDED).any(axis=1), (filled <= CROWDED).argmax(axis=1), LEVELS - 1)
+    row = np.arange(len(a))
+    either, differ = filled[row, level], (x[row, level] != y[row, level]).sum(axis=1)
+    # Half a bin stands in for none, where all are filled or differ.
+    held, changed = (-np.log(np.maximum(BINS - n, 0.5) / BINS) for n in (either, differ))
+    share = np.where(differ >= either, 0.0, 1 - changed / np.where(held > 0, held, 1.0))
+    return np.where((a == b).all(axis=1), 1.0, np.clip(share, 0.0, 1.0))
 
 
 def edited(text: str, following: str) -> str:
@@ -124,7 +148,7 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue  # the halo's repeated rows
             ids.append(doc_id)
             texts.append(text)
-            size += len(text)
+            size += len(text) + LANES
             if halo or size >= BATCH_CHARS and len(ids) > 1:
                 if len(ids) > 1:
                     yield _rows(ids[:-1], texts)
