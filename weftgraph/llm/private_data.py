@@ -2,7 +2,7 @@
 
 Base spans are leftmost non-overlapping matches of fixed patterns, checked (octets, Luhn, digit
 counts) and never dropped. Beyond them high-recall generators propose overlapping candidates
-(secrets in assignments, bare random strings, card numbers inside longer digit runs, phones without
+(secrets in assignments of any length from six characters on, bare random strings, card numbers inside longer digit runs, phones without
 a plus, written-out mail addresses, social security numbers, IBANs). Boosted trees score each from
 its format and its left and right context; a span is added if its calibrated probability reaches
 the threshold of its kind and no base span and no better candidate overlaps it.
@@ -50,15 +50,23 @@ BASE = {
 #: A cheap necessary condition for each base pattern.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
+_NAMES = r"(?i:passw(?:or)?d|pwd|passphrase|secret|token|key|credentials?|auth)"
+_VALUE = r"[^\s\"'`<>,;()\[\]{}]"
+#: What is assigned to a secret's name, from six characters on and of any of them; closing punctuation stays out.
+ASSIGNED = rf"(?<=[:=\s\"'])(?<={_NAMES}[\"']?\s{{0,2}}[:=]{{1,2}}\s{{0,2}}[\"']?)(?![:=])(?={_VALUE}{{6}}){_VALUE}*[^\s\"'`<>,;()\[\]{{}}.:?]"
+
 #: (kind, pattern) of the generators; a candidate is the whole match.
 GENERATORS = (
-    ("secret", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{16,200}+(?![0-9A-Za-z+/_=-])"),
+    ("secret", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{16,}+(?![0-9A-Za-z+/_=-])"),
+    ("secret", ASSIGNED),
     ("card", r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{2,63}+(?:\x20?(?:[\[(](?i:dot)[\])]|\.)\x20?[A-Za-z]{2,20}+){1,4}+"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])"),
 )
+#: A cheap necessary condition for a generator.
+GATES = {ASSIGNED: rf"{_NAMES}[\"']?\s{{0,2}}[:=]"}
 CONTEXT = 28
 
 
@@ -133,7 +141,15 @@ def candidates(text: Column) -> Column:
     def tagged(kind: int, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), *[m[n].alias(n) for n in ("start", "end", "value", "left", "right")]))
 
-    return F.concat(*[tagged(KINDS.index(kind), _matches(text, pattern)) for kind, pattern in GENERATORS])
+    def gated(pattern: str) -> Column:
+        found = _matches(text, pattern)
+        if pattern not in GATES:
+            return found
+        none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+        return F.when(F.regexp_like(text, F.lit(GATES[pattern])), found).otherwise(none)
+
+    # Both generators of secrets may propose the same span.
+    return F.array_distinct(F.concat(*[tagged(KINDS.index(kind), gated(pattern)) for kind, pattern in GENERATORS]))
 
 
 def _count(value: Column, characters: str) -> Column:
@@ -201,7 +217,7 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, int, int]]:
 
     def made() -> tuple[str, str, str, bool]:
         """Left, span, right, and whether the span is personal."""
-        k = rng.randrange(14)
+        k = rng.randrange(18)
         if k == 0:
             quote = rng.choice(('"', "'", ""))
             return f"{rng.choice(names)}{rng.choice((' = ', '=', ': '))}{quote}", random_string(rng.choice((hexes, base64)), 20, 64), quote, True
@@ -229,6 +245,19 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, int, int]]:
             return rng.choice(("commit ", "sha ", "id ", "page/")), random_string(hexes, 40, 40), "", False
         if k == 12:
             return "", "=" * rng.randint(16, 60) + str(rng.randint(0, 9)), "", False
+        if k in (13, 14, 15, 16):
+            quote = rng.choice(('"', "'", ""))
+            assigned = f"{rng.choice(names)}{rng.choice((' = ', '=', ': '))}{quote}"
+            if k == 13:  # letters alone
+                return assigned, random_string(base64[:52], 10, 40), quote, True
+            if k == 14:  # short ones, with a digit, a capital and maybe signs
+                mixed = [*random_string(base64 + "!@#$%&*_", 4, 12), rng.choice("0123456789"), rng.choice("ABCDEFGHKLMNPQRSTUVWXYZ"), rng.choice(hexes)]
+                rng.shuffle(mixed)
+                return assigned, "".join(mixed[:-1]) + rng.choice(base64), quote, True
+            if k == 15:
+                return assigned, random_string(base64 + "+/", 120, 600) + rng.choice(base64), quote, True
+            plain = rng.choice((word() + word(), (word() + word()).capitalize(), f"{word()}_{word()}", f"{word()}-{word()}", f"{word()}.{word()}"))
+            return assigned, plain, quote, False
         return rng.choice(("order = ", "page: ", "id=", "total: ")), number(rng.randint(16, 22)), "", False
 
     rows = []
@@ -264,6 +293,11 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _part(a: Column, b: Column) -> Column:
+    """Whether a is a part of b, of its kind."""
+    return (a["kind"] == b["kind"]) & (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
+
+
 def spans(text: Column, spark: SparkSession) -> Column:
     """struct<base, all>: arrays of struct<kind, start, end>, by kind as in KINDS, then start."""
     model, thresholds = model_for(spark)
@@ -280,11 +314,12 @@ def spans(text: Column, spark: SparkSession) -> Column:
         def best(chosen: Column) -> Column:
             def stays(s: Column) -> Column:
                 def beats(o: Column) -> Column:
-                    return _overlap(o, s) & (F.struct(o["p"], o["end"] - o["start"], -o["start"], -o["kind"]) > F.struct(s["p"], s["end"] - s["start"], -s["start"], -s["kind"]))
+                    # A part of a secret never stands against the whole.
+                    return _overlap(o, s) & (_part(s, o) | ~_part(o, s) & (F.struct(o["p"], o["end"] - o["start"], -o["start"], -o["kind"]) > F.struct(s["p"], s["end"] - s["start"], -s["start"], -s["kind"])))
 
                 return ~F.exists(both["base"], lambda b: _overlap(b, s)) & ~F.exists(chosen, beats)
 
-            return F.transform(F.filter(chosen, stays), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+            return F.array_distinct(F.transform(F.filter(chosen, stays), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
         return F.struct(both["base"].alias("base"), F.array_sort(F.concat(both["base"], let(likely, best))).alias("all"))
 
