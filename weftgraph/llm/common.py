@@ -62,10 +62,15 @@ def borders(keys: DataFrame, key: str, ranges: int, rows: int) -> list[int]:
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:
-    """How many of the ascending cuts are at most the key (a null key: none), by binary search."""
+    """How many of the ascending cuts are at most the key (a null key: none)."""
     if not cuts:
         return F.lit(0)
     table = F.array(*[F.lit(c).cast("long") for c in cuts]) if len(cuts) < 500 else F.from_json(F.lit(str(cuts)), "array<bigint>")
+    return F.when(key.isNull(), 0).otherwise(not_above(table, key, F.lit(len(cuts)), len(cuts)))
+
+
+def not_above(table: Column, key: Column, size: Column, most: int) -> Column:
+    """How many of a table's ascending values are at most the key, by binary search; it holds size values, at most most."""
 
     def step(at: Column, _: Column) -> Column:
         middle = F.shiftright(at["low"] + at["high"], 1)
@@ -73,6 +78,21 @@ def range_of(key: Column, cuts: list[int]) -> Column:
         moved = F.struct(F.when(right, middle + 1).otherwise(at["low"]).alias("low"), F.when(right, at["high"]).otherwise(middle).alias("high"), at["key"].alias("key"), at["table"].alias("table"))
         return F.when(at["low"] < at["high"], moved).otherwise(at)
 
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"), key.alias("key"), table.alias("table"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, step, lambda at: at["low"])
-    return F.when(key.isNull(), 0).otherwise(found)
+    start = F.struct(F.lit(0).alias("low"), size.cast("int").alias("high"), key.alias("key"), table.alias("table"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(most, 1).bit_length())), start, step, lambda at: at["low"])
+
+
+def whole(docs: DataFrame) -> Column:
+    """A row of docs as one struct named _row, beside which helper columns can have any names."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs out of _row."""
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def with_text(docs: DataFrame, text: Column) -> Column:
+    """_row with its text replaced and, if it has one, n_chars set anew."""
+    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return F.struct(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns]).alias("_row")

@@ -5,17 +5,18 @@ distinct documents that contain a line are counted; a line in more documents tha
 allow is boilerplate of that host and is removed from all of its documents but the first (the
 smallest doc_id), and a document that loses too large a part of its text is rejected.
 
-Limits: a line is boilerplate if it stands in more than ``min_docs`` distinct documents and in
-more than ``share`` of the host's distinct documents. Documents of one host with equal texts count
-as one document, so exact copies do not make each other boilerplate (removing copies is another
-operator's work). A document is depleted if less than ``min_left`` of its word characters stay.
+Limits: a line is boilerplate if it stands in more than ``min_docs`` distinct documents of a host and
+besides in more than ``share`` of the host's documents or, however large the host, in more than
+``most_docs``. Copies are documents of their own, so text that many documents of a host share is
+boilerplate whether or not the rest of them differs; with ``one_per_text`` documents of one host with
+equal texts count as one. A document is depleted if less than ``min_left`` of its word characters stay.
 
 Base rules besides: fewer than 50 words, or more than half of the words in repeated 3-word windows.
 
 Defined cases: a null text is empty (no words: base_failed); a null host is a host of its own; a
-null doc_id never counts as the first document; repeated rows are one document for the counts and
-give one result row each; an empty table gives no rows; other columns are ignored by
-:func:`assess` and kept by :func:`clean`.
+null doc_id never counts as the first document (rows without one are told apart by their texts);
+repeated rows are one document for the counts and give one result row each; an empty table gives no rows; other columns, whatever their
+names, are ignored by :func:`assess` and kept by :func:`clean`.
 
 Everything is a DataFrame expression. One scan of the texts writes a slim table of numbers and line
 hashes; what is shuffled are line hashes, pre-aggregated, and never texts.
@@ -23,13 +24,15 @@ hashes; what is shuffled are line hashes, pre-aggregated, and never texts.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, let, materialise, read, text_of, total, without_separators, words
+from .common import SEPARATORS, let, materialise, read, text_of, total, unpacked, whole, with_text, without_separators, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_DOCS, SHARE, MIN_LEFT = 10, 0.05, 0.3
+MIN_DOCS, SHARE, MOST_DOCS, MIN_LEFT = 10, 0.05, 1000, 0.3
 SYMBOLS = "#*$%&|<>"
 #: Most boilerplate lines (24 bytes each) that are broadcast.
 BROADCAST_LINES = 100_000
@@ -95,70 +98,86 @@ def _digests(docs: DataFrame, host: str) -> DataFrame:
     return materialise(rows.withColumn("base_failed", failed).withColumn("_row", F.monotonically_increasing_id()), "line-digests")
 
 
-def _boilerplate(digests: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """_host, h, first document of the lines above the limits."""
-    lines = digests.select("_host", "_content", "doc_id", F.explode("_lines.h").alias("h"))
-    # Per content first, then per host and line: both steps combine on the map side, so a line that
-    # a third of all documents share reaches its reducer as one row from each task.
-    counts = lines.groupBy("_host", "h", "_content").agg(F.min("doc_id").alias("_id")).groupBy("_host", "h").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
-    hosts = digests.groupBy("_host", "_content").agg(F.lit(1)).groupBy("_host").agg(F.count("*").alias("_docs"))
-    hosts = hosts.withColumnRenamed("_host", "_of")
-    frequent = counts.where(F.col("n") > min_docs).join(hosts, F.col("_host").eqNullSafe(F.col("_of")))
-    return frequent.where(F.col("n") > share * F.col("_docs")).select(F.col("_host").alias("_of"), F.col("h").alias("_line"), "_first")
+@dataclass(frozen=True)
+class Limits:
+    """See the head of the module."""
+
+    min_docs: int = MIN_DOCS
+    share: float = SHARE
+    most_docs: int = MOST_DOCS
+    min_left: float = MIN_LEFT
+    one_per_text: bool = False
+
+
+def _boilerplate(digests: DataFrame, limits: Limits) -> DataFrame:
+    """_of (host), _line, _first (document) of the lines above the limits."""
+    own = ["_host", "_content"] if limits.one_per_text else ["_host", "_content", "doc_id"]
+    # What repeats a document is told from slim rows, so that lines are counted, and combined on the map
+    # side, in one step: a line that a third of all documents share reaches its reducer as one row a task.
+    docs = digests.groupBy(*own).agg(F.count("*").alias("_n"), F.min("_row").alias("_keep"), F.min("doc_id").alias("_id"))
+    docs = materialise(docs, "line-docs")
+    hosts = docs.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("_docs"))
+    several = docs.where("_n > 1")
+    same = [digests[c].eqNullSafe(several[c]) for c in own]
+    again = digests.join(several, same).select(digests["_row"].alias("_again"), "_keep").where(F.col("_again") != F.col("_keep"))
+    once = digests.join(again, digests["_row"] == again["_again"], "left_anti")
+    counts = once.select("_host", "doc_id", F.explode(F.array_distinct("_lines.h")).alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("_first"))
+    frequent = counts.where(F.col("n") > limits.min_docs).join(hosts, F.col("_host").eqNullSafe(F.col("_of")))
+    return frequent.where((F.col("n") > limits.share * F.col("_docs")) | (F.col("n") > limits.most_docs)).select("_of", F.col("h").alias("_line"), "_first")
 
 
-def _verdicts(digests: DataFrame, min_docs: int, share: float, min_left: float) -> DataFrame:
+def _hits(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines (_host, doc_id, h) that are boilerplate, but for those of their first document."""
+    on = lines["_host"].eqNullSafe(found["_of"]) & (lines["h"] == found["_line"])
+    return lines.join(F.broadcast(found) if found.count() <= BROADCAST_LINES else found, on).where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+
+
+def _verdicts(digests: DataFrame, limits: Limits) -> DataFrame:
     """digests with the removed lines' hashes, what they hold, and kept."""
     lines = digests.select("_row", "_host", "doc_id", F.explode("_lines").alias("_l")).select("_row", "_host", "doc_id", "_l.h", "_l.c")
-    found = _boilerplate(digests, min_docs, share)
-    hits = lines.join(found, lines["_host"].eqNullSafe(found["_of"]) & (lines["h"] == found["_line"])).where(~F.col("doc_id").eqNullSafe(F.col("_first")))
-    lost = hits.groupBy("_row").agg(F.sum("c").alias("removed_chars"), F.count("*").alias("n_removed_lines"), F.collect_set("h").alias("_removed"))
+    hits = _hits(lines, materialise(_boilerplate(digests, limits), "boilerplate"))
+    lost = hits.groupBy("_row").agg(F.sum("c").alias("removed_chars"), F.count("*").alias("n_removed_lines"))
     out = digests.drop("_lines").join(lost, "_row", "left").fillna(0, ["removed_chars", "n_removed_lines"])
-    depleted = F.col("word_chars") - F.col("removed_chars") < min_left * F.col("word_chars")
+    depleted = F.col("word_chars") - F.col("removed_chars") < limits.min_left * F.col("word_chars")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def assess(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """Counts and verdict of every row."""
-    out = _verdicts(_digests(docs, host), min_docs, share, min_left)
+    out = _verdicts(_digests(docs, host), limits)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "removed_chars")
 
 
-def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """The rows that are kept, with boilerplate lines removed from text and n_chars (if there) set anew.
 
-    The same rules as in :func:`assess`. A host has fewer than (mean lines of a document) / share
-    boilerplate lines, however large it is, so their table is small; if its counted rows are at most
-    BROADCAST_LINES it is broadcast and texts don't move. Beyond that it meets the texts by a shuffle
-    on the host's lines' documents.
+    The same rules as in :func:`assess`. If the counted boilerplate lines are at most BROADCAST_LINES
+    their table is broadcast and texts don't move. Beyond that it meets the texts by a shuffle on the
+    documents that hold such lines.
     """
     slim = docs.select("doc_id", F.col(host).alias("_host"), text_of("text").alias("_text"))
     slim = slim.select("doc_id", "_host", F.xxhash64("_text").alias("_content"), F.transform(lines_with_words(F.col("_text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"))).alias("_lines"))
-    slim = materialise(slim, "line-hashes")
-    found = materialise(_boilerplate(slim, min_docs, share), "boilerplate")
-    rows = docs.withColumns({"_host": F.col(host), "_id": F.col("doc_id")})
+    slim = materialise(slim.withColumn("_row", F.monotonically_increasing_id()), "line-hashes")
+    found = materialise(_boilerplate(slim, limits), "boilerplate")
+    rows = docs.select(whole(docs), F.col(host).alias("_host"), F.col("doc_id").alias("_id"), text_of("text").alias("_text"))
     if found.count() <= BROADCAST_LINES:
         by_host = found.groupBy("_of").agg(F.collect_list(F.struct("_line", "_first")).alias("_bad"))
         rows = rows.join(F.broadcast(by_host), rows["_host"].eqNullSafe(by_host["_of"]), "left")
         bad = F.transform(F.filter("_bad", lambda b: ~F.col("_id").eqNullSafe(b["_first"])), lambda b: b["_line"])
     else:
-        lines = slim.select("doc_id", "_host", F.explode("_lines.h").alias("h")).distinct()
-        hits = lines.join(found, lines["_host"].eqNullSafe(found["_of"]) & (lines["h"] == found["_line"])).where(~F.col("doc_id").eqNullSafe(F.col("_first")))
+        hits = _hits(slim.select("doc_id", "_host", F.explode("_lines.h").alias("h")).distinct(), found)
         hits = hits.groupBy(F.struct("doc_id", "_host").alias("_key")).agg(F.collect_set("h").alias("_bad"))
         rows = rows.join(hits, F.struct(F.col("_id").alias("doc_id"), F.col("_host")).eqNullSafe(F.col("_key")), "left")
         bad = F.col("_bad")
-    text = text_of("text")
+    text = F.col("_text")
     split = F.split(text, "\n", -1)
     # A line without words is never boilerplate: its normal form is empty and was not counted.
     stays = F.when(F.coalesce(F.size("_bad"), F.lit(0)) <= 0, text).otherwise(let(bad, lambda b: F.array_join(F.filter(split, lambda x: ~F.array_contains(b, F.xxhash64(normal_line(x)))), "\n")))
     rows = rows.withColumns({"_stays": stays, "_words": words(text)})
     n = F.size("_words")
     failed = (n < MIN_WORDS) | (100 * repeated_words(F.col("_words")) > MAX_REPEAT_PERCENT * n)
-    depleted = F.length(without_separators(F.col("_stays"))) < min_left * F.length(without_separators(text))
-    out = rows.where(~failed & ~depleted).withColumn("text", F.col("_stays"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    depleted = F.length(without_separators(F.col("_stays"))) < limits.min_left * F.length(without_separators(text))
+    return unpacked(rows.where(~failed & ~depleted).select(with_text(docs, F.col("_stays"))), docs)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +201,9 @@ base AS (SELECT d.rid, doc_id, source, t, len(w) AS n_words, length(regexp_repla
   FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid)),
 li AS (SELECT rid, doc_id, source, t, lower(trim(regexp_replace(x, '{_SEP}+', ' ', 'g'))) AS h, length(regexp_replace(x, '{_SEP}+', '', 'g')) AS c
   FROM (SELECT d.rid, doc_id, source, t, unnest(l) AS x FROM d JOIN w USING (rid))),
-freq AS (SELECT source, h, count(DISTINCT t) AS n, min(doc_id) AS first FROM li GROUP BY source, h),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-bad AS (SELECT f.* FROM freq f JOIN hosts o ON f.source IS NOT DISTINCT FROM o.source WHERE n > {MIN_DOCS} AND n > {SHARE}::DOUBLE * docs),
+freq AS (SELECT source, h, count(*) AS n, min(doc_id) AS first FROM (SELECT DISTINCT source, h, doc_id, t FROM li) GROUP BY source, h),
+hosts AS (SELECT source, count(*) AS docs FROM (SELECT DISTINCT source, doc_id, t FROM d) GROUP BY source),
+bad AS (SELECT f.* FROM freq f JOIN hosts o ON f.source IS NOT DISTINCT FROM o.source WHERE n > {MIN_DOCS} AND (n > {SHARE}::DOUBLE * docs OR n > {MOST_DOCS})),
 lost AS (SELECT rid, sum(c) AS removed, count(*) AS n_lines FROM li JOIN bad ON li.source IS NOT DISTINCT FROM bad.source AND li.h = bad.h
   WHERE li.doc_id IS DISTINCT FROM bad.first GROUP BY rid),
 v AS (SELECT b.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(removed, 0) AS removed_chars, coalesce(n_lines, 0) AS n_removed_lines

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import let, read, text_of, total
+from .common import let, read, text_of, total, unpacked, whole, with_text
 
 #: Order of kinds in results: the base kinds first.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
@@ -361,12 +361,11 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(pair["t"], acc["at"] + 1, F.length(pair["t"]))))
 
-    rows = docs.withColumn("_s", spans(text_of("text"), docs.sparkSession)["all"])
-    text = F.when(F.size("_s") == 0, F.col("text")).otherwise(let(F.struct(F.col("text").alias("t"), F.col("_s").alias("s")), rebuilt))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = docs.select(whole(docs), spans(text_of("text"), docs.sparkSession)["all"].alias("_s"))
+    own = F.col("_row")["text"]
+    text = F.when(F.size("_s") == 0, own).otherwise(let(F.struct(own.alias("t"), F.col("_s").alias("s")), rebuilt))
+    rows = rows.select("_row", text.alias("_text")).select(with_text(docs, F.col("_text")))
+    return unpacked(rows, docs)
 
 
 def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import importlib
-
-#: Modules with QUERIES (and maybe ORACLE_SQL), by operator number.
-MODULES = (
-    "chat_tree",
-    "licenses",
-    "line_quality",
-    "mixing",
-    "near_dedup",
-    "near_dedup_sql",
-    "sharding",
-    "fingerprint",
-    "pieces",
-    "private_data",
-    "warc",
-)
+from . import chat_tree, fingerprint, licenses, line_quality, mixing, near_dedup, near_dedup_sql, pieces, private_data, sharding, warc
+
+#: Modules with QUERIES (and maybe ORACLE_SQL). A package that one of them lacks shows when this module is imported.
+MODULES = (chat_tree, licenses, line_quality, mixing, near_dedup, near_dedup_sql, sharding, fingerprint, pieces, private_data, warc)
 
 
 def _merged(attribute: str) -> dict:
     found: dict = {}
-    for name in MODULES:
-        found |= getattr(importlib.import_module(f"{__package__}.{name}"), attribute, {})
+    for module in MODULES:
+        found |= getattr(module, attribute, {})
     return found
 
 

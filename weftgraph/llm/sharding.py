@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialise, read, text_of
+from .common import let, materialise, read, text_of, whole
 
 #: Primes below 2**31: squares of residues fit a signed 64-bit integer.
 PRIME, PRIME_2 = 2_147_483_647, 2_147_483_629
@@ -149,16 +149,20 @@ def assign(docs: DataFrame, n_shards: int = 24, seed: int = 42) -> DataFrame:
 
 
 def shard(docs: DataFrame, key: str, n_shards: int = 24, seed: int = 42) -> DataFrame:
-    """Whole rows with shard and slot, for tables whose key is unique (the text moves once)."""
-    spots = numbered(docs.select(F.col(key)), [key])
+    """Whole rows with shard and slot; texts move once. Keys are meant to be unique: rows of one key meet in a task.
+
+    Rows that repeat a key share that key's numbers among themselves, one each.
+    """
+    spots = numbered(docs.select(F.col(key).alias("_key")), ["_key"])
     n = max(1, spots.count())
-    spots = spots.withColumn("_p", permuted(F.col("row_number"), n, seed)).select(
-        F.col(key).alias("_key"),
-        (F.col("_p") % n_shards).cast("int").alias("shard"),
-        F.call_function("div", F.col("_p"), F.lit(n_shards).cast("long")).alias("slot"),
-    )
+    number = permuted(F.col("row_number"), n, seed)
+    spots = spots.select("_key", let(number, lambda p: F.struct((p % n_shards).cast("int").alias("shard"), F.call_function("div", p, F.lit(n_shards).cast("long")).alias("slot"))).alias("_spot"))
+    spots = spots.groupBy("_key").agg(F.sort_array(F.collect_list("_spot")).alias("_spots"))
     kept = docs.drop("shard", "slot")
-    return kept.join(spots, kept[key].eqNullSafe(spots["_key"])).drop("_key")
+    rows = kept.select(whole(kept), kept[key].alias("_own")).join(spots, F.col("_own").eqNullSafe(F.col("_key")))
+    twin = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    rows = rows.withColumn("_spot", F.get("_spots", twin - 1))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in kept.columns], "_spot.shard", "_spot.slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
