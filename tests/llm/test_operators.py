@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -70,7 +71,19 @@ def test_boilerplate_lines_go(spark, monkeypatch):
 def test_exact_copies_are_no_boilerplate(spark):
     rng = random.Random(3)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
-    assert line_quality.assess(documents(spark, [(i, text, "h") for i in range(30)])).where("kept").count() == 30
+    docs = documents(spark, [(i, text, "h") for i in range(30)])
+    assert line_quality.assess(docs, limits=line_quality.Limits(one_per_text=True)).where("kept").count() == 30
+    # Counted by documents, text that all documents of a host share is boilerplate; the first keeps it.
+    assert [r.doc_id for r in line_quality.assess(docs).where("kept").collect()] == [0]
+
+
+def test_a_large_host_does_not_hide_its_boilerplate(spark):
+    """12 of 300 documents have the line: 4 %, but more than an absolute limit of 11."""
+    rng = random.Random(31)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    rows = [(i, prose() + ("\nthe same footer" if i < 12 else ""), "h") for i in range(300)]
+    got = lambda most: line_quality.assess(documents(spark, rows), limits=line_quality.Limits(most_docs=most)).where("n_removed_lines > 0").count()
+    assert (got(12), got(11)) == (0, 11)
 
 
 # 2: chat formatting
@@ -250,9 +263,15 @@ def test_warc(spark, tmp_path):
     for name in ("one", "two"):
         uri = f"file://{tmp_path}/{name}"
         warc.write(pages.repartition(2), uri, roll_bytes=500, shard_bytes=1500)
-        outs.append({p.name: p.read_bytes() for p in (tmp_path / name).iterdir()})
-        assert not [n for n in outs[-1] if n.startswith(".tmp")]
+        outs.append({p.name: p.read_bytes() for p in (tmp_path / name).iterdir() if p.is_file() and p.suffix == ".gz"})
+        assert not [p for p in (tmp_path / name).iterdir() if p.name.startswith(".tmp")]
+        listed = {r.file: r for r in warc.manifest(spark, uri).collect()}
+        assert set(listed) == set(outs[-1]) and all(hashlib.sha1(b).hexdigest() == listed[n].sha1 and len(b) == listed[n].bytes for n, b in outs[-1].items())
     assert outs[0] == outs[1] and len(outs[0]) > 2
+    records = [m for b in outs[0].values() for m in gzip.decompress(b).split(b"WARC/1.1\r\n")[1:]]
+    ids = [re.search(rb"WARC-Record-ID: (.*)\r", r)[1] for r in records]
+    assert len(ids) == len(set(ids)) == len(rows) + len(outs[0]) and sum(b"WARC-Type: warcinfo" in r for r in records) == len(outs[0])
+    assert any(n.split("-")[2] != "00000.warc.gz" for n in outs[0])  # a shard rolled
     got = sorted(map(tuple, warc.read_back(spark, uri).collect()), key=str)
     want = []
     for page_id, _, html in rows:
