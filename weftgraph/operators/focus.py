@@ -2,21 +2,27 @@
 
 A core (a vertex and its neighbours by heavy edges) grows by the outside vertex that lowers the
 conductance most, and then shrinks by members whose removal doesn't raise it. Conductance is cut over
-inner weight, where negative weights don't count. It runs in the task model: a task pulls the
-neighbour lists of its members and candidates and goes on by itself while it has the lists it needs.
+inner weight, where negative weights don't count.
 
-A neighbour entry carries the neighbour's total weight and its count of edges, so what a candidate would
-change follows from its edges to the cluster: one addition instead of a sum over the whole cluster.
-Sums are exactly rounded (fsum), so results don't depend on the order of terms; ties go to the
-smallest id.
+A cluster keeps its sums: what a vertex would change follows from its edges to the members and its
+total weight, so joining or leaving costs the vertex's own list. For sums that do not depend on the
+order of terms, weights are rounded to multiples of a power of two so small that every sum is exact
+(to 51 bits of the graph's total weight). Ties go to the smallest id.
+
+A graph of a checked size (BROADCAST_BYTES) is broadcast once as arrays, and each core grows in one go
+where its row is. A larger graph is pulled in the task model: a task has the lists of its members and
+candidates, and goes on by itself until a vertex without a list is to join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import fsum
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +30,9 @@ from pyspark.sql.window import Window
 from .graph import Graph
 from .tasks import run
 
+#: Lists are broadcast if the counted edges take at most so many bytes (16 for each end).
+BROADCAST_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Focus:
@@ -37,10 +46,17 @@ class Focus:
     candidates: float = 20.0
 
 
-def neighbourhoods(graph: Graph) -> DataFrame:
+def exact_unit(graph: Graph) -> float:
+    """The power of two to whose multiples weights are rounded in sums."""
+    total = graph.edges.agg(F.sum(F.abs(F.col("weight").cast("double")))).first()[0]
+    return 2.0 ** (math.frexp(2 * total if total else 1.0)[1] - 51)
+
+
+def neighbourhoods(graph: Graph, unit: float = 2.0**-20) -> DataFrame:
     """vid, adj of (id, weight) ascending, with the neighbour's total weight and edge count beside (negatives left out)."""
     sym = graph.sym().select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    fair = sym.where("weight >= 0").groupBy(F.col("src").alias("_v")).agg(F.sum("weight").alias("total"), F.count("*").alias("degree"))
+    rounded = F.rint(F.col("weight") / unit) * unit
+    fair = sym.where("weight >= 0").groupBy(F.col("src").alias("_v")).agg(F.sum(rounded).alias("total"), F.count("*").alias("degree"))
     entry = F.struct(F.col("dst").alias("id"), "weight", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("degree", F.lit(0)).alias("degree"))
     return sym.join(fair, F.col("dst") == F.col("_v"), "left").groupBy(F.col("src").alias("vid")).agg(F.sort_array(F.collect_list(entry)).alias("adj"))
 
@@ -51,86 +67,188 @@ def cores(near: DataFrame, options: Focus = Focus()) -> DataFrame:
     return near.select("vid", F.concat(F.array("vid"), heavy).alias("core")).where(F.size("core") >= options.min_core)
 
 
-class _Cluster:
-    """Members with their cut and inner sums; adj maps a known vertex to its entries."""
-
-    def __init__(self, members: Iterable[int], adj: dict[int, list[dict]]):
-        self.adj, self.members = adj, set(members)
-
-    def sums(self, members: set[int]) -> tuple[float, float, int, int]:
-        """Weighted cut and inner weight, edges cut and inner edges."""
-        cut, inner, n_cut, n_inner = [], [], 0, 0
+@dataclass(frozen=True)
+class Lists:
+    """Neighbour lists as arrays. A vertex is named by its place among the ascending ids."""
+
+    ids: np.ndarray
+    total: np.ndarray
+    degree: np.ndarray
+    start: np.ndarray
+    near: np.ndarray
+    weight: np.ndarray
+    known: np.ndarray
+    unit: float
+
+    @classmethod
+    def of_edges(cls, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, unit: float) -> "Lists":
+        """Of all edges of a graph, each given once."""
+        ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        a, b, w = ends, np.concatenate((ends[len(src) :], ends[: len(src)])), np.concatenate((weight, weight))
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order].astype(np.int32), w[order]
+        fair = w >= 0
+        total = np.bincount(a, np.where(fair, np.rint(w / unit) * unit, 0.0), len(ids))
+        start = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=len(ids)))))
+        return cls(ids, total, np.bincount(a, fair, len(ids)).astype(np.int64), start, b, w, np.ones(len(ids), bool), unit)
+
+    @classmethod
+    def of_front(cls, front: list[dict[str, Any]], unit: float) -> "Lists":
+        """Of the pulled vertices; their neighbours are there without lists."""
+        rows = sorted(front, key=lambda f: f["vid"])
+        entries = [e for f in rows for e in f["adj"]]
+        own, other = np.array([f["vid"] for f in rows], np.int64), np.array([e["id"] for e in entries], np.int64)
+        ids = np.unique(np.concatenate((own, other)))
+        total, degree, sizes = np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        weight = np.array([e["weight"] for e in entries], np.float64)
+        at, places = np.searchsorted(ids, own), np.searchsorted(ids, other).astype(np.int32)
+        sizes[at] = [len(f["adj"]) for f in rows]
+        owner = np.repeat(at, sizes[at])
+        fair = weight >= 0
+        total += np.bincount(owner, np.where(fair, np.rint(weight / unit) * unit, 0.0), len(ids))
+        degree += np.bincount(owner, fair, len(ids)).astype(np.int64)
+        total[places], degree[places] = [e["total"] for e in entries], [e["degree"] for e in entries]
+        known = np.zeros(len(ids), bool)
+        known[at] = True
+        return cls(ids, total, degree, np.concatenate(([0], np.cumsum(sizes))), places, weight, known, unit)
+
+    def of(self, v: int) -> tuple[np.ndarray, np.ndarray]:
+        low, high = self.start[v], self.start[v + 1]
+        return self.near[low:high], self.weight[low:high]
+
+    def places(self, ids: list[int]) -> list[int]:
+        return np.searchsorted(self.ids, np.array(ids, np.int64)).tolist()
+
+
+class Cluster:
+    """Members with their sums, and what each outside vertex has to do with them."""
+
+    def __init__(self, lists: Lists, members: list[int]):
+        n = len(lists.ids)
+        self.lists, self.order, self.size = lists, [], 0
+        self.inside, self.reached = np.zeros(n, bool), np.zeros(n, bool)
+        self.tie, self.ties = np.zeros(n), np.zeros(n, np.int64)
+        #: The smallest member from which a vertex is met by positive weight, and that weight.
+        self.first, self.first_weight = np.full(n, n, np.int64), np.zeros(n)
+        self.frontier, self.met = np.empty(64, np.int64), 0
+        self.cut = self.inner = 0.0
+        self.n_cut = self.n_inner = 0
         for v in members:
-            for e in self.adj.get(v, ()):
-                if e["weight"] >= 0:
-                    if e["id"] not in members:
-                        cut.append(e["weight"])
-                        n_cut += 1
-                    elif v < e["id"]:
-                        inner.append(e["weight"])
-                        n_inner += 1
-        return fsum(cut), fsum(inner), n_cut, n_inner
-
-    def phi(self, members: set[int]) -> tuple[float, float]:
-        cut, inner, n_cut, n_inner = self.sums(members)
-        return (cut / inner if inner else -1.0), (n_cut / n_inner if n_inner else -1.0)
-
-    def outside(self, order: Iterable[int], most: float) -> list[int]:
-        """Neighbours by positive weight, each with the weight that is met first; the heaviest most of them."""
-        first: dict[int, float] = {}
-        for v in order:
-            for e in self.adj.get(v, ()):
-                if e["weight"] > 0 and e["id"] not in self.members:
-                    first.setdefault(e["id"], e["weight"])
-        if len(first) > most:
-            return sorted(first, key=lambda c: -first[c])[: int(most)]  # stable: first met first
-        return list(first)
-
-    def best_additions(self, candidates: Iterable[int]) -> tuple[float, int | None, int | None]:
-        """Greatest weighted drop and its vertex, and the vertex of the greatest structural drop."""
-        cut, inner, n_cut, n_inner = self.sums(self.members)
-        phi = cut / inner if inner else -1.0
-        shape = n_cut / n_inner if n_inner else -1.0
-        ties: dict[int, list] = {}
-        for v in self.members:
-            for e in self.adj.get(v, ()):
-                if e["weight"] >= 0 and e["id"] not in self.members:
-                    ties.setdefault(e["id"], [0.0, 0, e])
-                    ties[e["id"]][0] += e["weight"]
-                    ties[e["id"]][1] += 1
-        drop, node, shape_drop, shape_node = 0.0, None, 0.0, None
-        for c in sorted(candidates):
-            weight, n, entry = ties.get(c, (0.0, 0, None))
-            if entry is None:
-                continue
-            new_inner, new_n = inner + weight, n_inner + n
-            if not new_inner or not new_n:
-                continue
-            change = (cut - weight + (entry["total"] - weight)) / new_inner - phi
-            shape_change = (n_cut - n + (entry["degree"] - n)) / new_n - shape
-            if change < drop:
-                drop, node = change, c
-            if shape_change < shape_drop:
-                shape_drop, shape_node = shape_change, c
-        return drop, node, shape_node
-
-    def shrink(self) -> list[int]:
-        """Removes members, ascending, while a removal does not raise the conductance; what was removed."""
-        gone: list[int] = []
-        phi = self.phi(self.members)[0]
-        again = True
+            self.join(v)
+
+    def join(self, v: int) -> None:
+        near, weight = self.lists.of(v)
+        self.cut += self.lists.total[v] - 2 * self.tie[v]
+        self.inner += self.tie[v]
+        self.n_cut += int(self.lists.degree[v] - 2 * self.ties[v])
+        self.n_inner += int(self.ties[v])
+        self.inside[v] = True
+        self.order.append(v)
+        self.size += 1
+        self._tied(near, weight, 1)
+        self._meet(v, near, weight)
+
+    def _tied(self, near: np.ndarray, weight: np.ndarray, sign: int) -> None:
+        fair = weight >= 0
+        near = near[fair]
+        self.tie[near] += sign * (np.rint(weight[fair] / self.lists.unit) * self.lists.unit)
+        self.ties[near] += sign
+
+    def _meet(self, v: int, near: np.ndarray, weight: np.ndarray) -> None:
+        sooner = (weight > 0) & (self.first[near] > v)
+        near, weight = near[sooner], weight[sooner]
+        self.first[near], self.first_weight[near] = v, weight
+        new = near[~self.reached[near]]
+        self.reached[new] = True
+        if self.met + len(new) > len(self.frontier):
+            self.frontier = np.resize(self.frontier, 2 * (self.met + len(new)))
+        self.frontier[self.met : self.met + len(new)] = new
+        self.met += len(new)
+
+    def leave(self, v: int) -> None:
+        """The vertex leaves; who is met first is not known until meet_again()."""
+        self.inside[v] = False
+        self.size -= 1
+        self._tied(*self.lists.of(v), -1)
+        self.cut -= self.lists.total[v] - 2 * self.tie[v]
+        self.inner -= self.tie[v]
+        self.n_cut -= int(self.lists.degree[v] - 2 * self.ties[v])
+        self.n_inner -= int(self.ties[v])
+
+    def meet_again(self) -> None:
+        self.order = [v for v in self.order if self.inside[v]]
+        self.first[:], self.reached[:], self.met = len(self.first), False, 0
+        for v in sorted(self.order):
+            self._meet(v, *self.lists.of(v))
+
+    def phi(self) -> float:
+        return self.cut / self.inner if self.inner else -1.0
+
+    def outside(self, most: float) -> np.ndarray:
+        """Outside vertices met by positive weight; the heaviest most of them by the weight met first.
+
+        Ties go to those of the smaller member, then to the smaller id.
+        """
+        found = self.frontier[: self.met]
+        found = found[~self.inside[found]]
+        return _heaviest(found, self.first_weight[found], self.first[found], len(self.inside), int(most)) if len(found) > most else found
+
+    def outside_of_core(self, most: float) -> np.ndarray:
+        """The same with members met in the order they joined, as is right for the first candidates."""
+        rank, weight_of = np.full(len(self.inside), -1, np.int64), np.zeros(len(self.inside))
+        for at, v in enumerate(self.order):
+            near, weight = self.lists.of(v)
+            new = (weight > 0) & (rank[near] < 0)
+            rank[near[new]], weight_of[near[new]] = at, weight[new]
+        found = np.flatnonzero((rank >= 0) & ~self.inside)
+        return _heaviest(found, weight_of[found], rank[found], len(self.inside), int(most)) if len(found) > most else found
+
+    def best_additions(self, candidates: np.ndarray) -> tuple[float, int | None, int | None]:
+        """Greatest drop of conductance and its vertex, and the vertex of the greatest drop by counts of edges."""
+        c = candidates[self.ties[candidates] > 0]
+        tie, ties = self.tie[c], self.ties[c]
+        new_inner, new_n = self.inner + tie, self.n_inner + ties
+        fit = (new_inner != 0) & (new_n != 0)
+        if not fit.all():
+            c, tie, ties, new_inner, new_n = c[fit], tie[fit], ties[fit], new_inner[fit], new_n[fit]
+        if not len(c):
+            return 0.0, None, None
+        change = (self.cut - tie + (self.lists.total[c] - tie)) / new_inner - self.phi()
+        shape = (self.n_cut - ties + (self.lists.degree[c] - ties)) / new_n - (self.n_cut / self.n_inner if self.n_inner else -1.0)
+        drop, shape_drop = change.min(), shape.min()
+        node = int(c[change == drop].min()) if drop < 0 else None
+        shape_node = int(c[shape == shape_drop].min()) if shape_drop < 0 else None
+        return float(min(drop, 0.0)), node, shape_node
+
+    def shrink(self) -> bool:
+        """Removes members, ascending, while a removal does not raise the conductance; whether any went."""
+        phi, gone, again = self.phi(), False, True
         while again:
             again = False
-            for v in sorted(self.members):
-                new = self.phi(self.members - {v})[0]
+            for v in np.flatnonzero(self.inside).tolist():
+                tie = float(self.tie[v])
+                inner = self.inner - tie
+                new = (self.cut - float(self.lists.total[v]) + 2 * tie) / inner if inner else -1.0
                 if 0 <= new <= phi:
-                    phi, again = new, True
-                    self.members.discard(v)
-                    gone.append(v)
-        self.after = phi
+                    self.leave(v)
+                    phi, gone, again = new, True, True
+        if gone:
+            self.meet_again()
         return gone
 
 
+def _heaviest(found: np.ndarray, weight: np.ndarray, rank: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k of found that are first by (weight descending, rank, place)."""
+    if k <= 0:
+        return found[:0]
+    least = np.partition(weight, len(weight) - k)[len(weight) - k]
+    sure, tied = found[weight > least], np.flatnonzero(weight == least)
+    want = k - len(sure)
+    if want < len(tied):
+        tied = tied[np.argpartition(rank[tied] * n + found[tied], want - 1)[:want]]
+    return np.concatenate((sure, found[tied]))
+
+
 def _close(smaller: float, larger: float, ratio: float) -> bool:
     """Whether larger / smaller is at most 1 + ratio, by the rules of floating point."""
     if smaller == 0:
@@ -138,76 +256,79 @@ def _close(smaller: float, larger: float, ratio: float) -> bool:
     return larger / smaller <= 1 + ratio
 
 
-def make_compute(options: Focus):
-    """The program's compute: state in, state out."""
-
-    def compute(state: dict, front: list[dict], interim) -> tuple[dict, list[int], bool]:
-        adj = {f["vid"]: f["adj"] for f in front}
-        members, outlier = list(state["members"]), set(state["outlier"])
-        candidates, rounds, start = list(state["candidates"]), state["rounds"], state["start"]
-        if not state["begun"]:
-            cluster = _Cluster(members, adj)
-            candidates = cluster.outside(members, options.candidates * len(members))
-            return {**state, "begun": True, "candidates": candidates}, [*members, *candidates], True
-
-        def result(kept: list[int], out: set[int], found: bool) -> tuple[dict, list[int], bool]:
-            final = _Cluster(kept, adj).phi(set(kept))[0] if found and kept else -1.0
-            return {**state, "members": kept, "outlier": sorted(out), "candidates": [], "rounds": rounds, "start": start, "phi": final, "found": found}, [], False
-
-        while True:
-            cluster = _Cluster(members, adj)
-            if any(v not in adj for v in members):  # the member that joined last: its list comes with the next round
-                return {**state, "members": members, "outlier": sorted(outlier), "candidates": [], "rounds": rounds, "start": start}, members, True
-            if not candidates:
-                candidates = cluster.outside(sorted(members), options.candidates * len(members))
-            phi = cluster.phi(cluster.members)[0]
-            if phi < 0:
-                return result([], set(), False)
-            start = phi if start is None else start
-            drop, node, shape_node = cluster.best_additions(candidates)
-            if not _close(phi + drop, phi, options.diff_ratio):
-                if shape_node is not None:
-                    outlier.add(shape_node)
-                if node is not None:
-                    members.append(node)
-                    cluster.members.add(node)
-                    candidates = cluster.outside(sorted(members), options.candidates * len(members))
-                    continue
-            gone = cluster.shrink()
-            if gone:
-                members = [v for v in members if v in cluster.members]
-                outlier -= cluster.members
-                candidates = cluster.outside(sorted(members), options.candidates * len(members))
-            phi = cluster.after
-            if not _close(phi, start, options.diff_ratio) and rounds < options.max_rounds:
-                start, rounds = phi, rounds + 1
+def advance(lists: Lists, state: dict[str, Any], options: Focus) -> tuple[dict[str, Any], list[int], bool]:
+    """Grows a cluster as far as the lists allow: its state, the ids whose lists it needs, whether it goes on."""
+    cluster = Cluster(lists, lists.places(state["members"]))
+    outlier, rounds, start = set(lists.places(state["outlier"])), state["rounds"], state["start"]
+
+    def ids(places: Any) -> list[int]:
+        return lists.ids[np.array(list(places), np.int64)].tolist()
+
+    def most() -> float:
+        return options.candidates * cluster.size
+
+    def now(found: bool, candidates: Any = ()) -> dict[str, Any]:
+        kept = {"members": ids(cluster.order), "outlier": sorted(ids(outlier)), "candidates": ids(candidates), "rounds": rounds, "start": start}
+        return {**state, **kept, "begun": True, "found": found, "phi": cluster.phi() if found else -1.0}
+
+    candidates = np.array(lists.places(state["candidates"]), np.int64) if state["begun"] else cluster.outside_of_core(most())
+    while True:
+        phi = cluster.phi()
+        if phi < 0:
+            return now(False), [], False
+        start = phi if start is None else start
+        drop, node, shape_node = cluster.best_additions(candidates)
+        if not _close(phi + drop, phi, options.diff_ratio):
+            if node is not None and not lists.known[node]:
+                return now(False, candidates), ids([*cluster.order, *candidates.tolist()]), True
+            if shape_node is not None:
+                outlier.add(shape_node)
+            if node is not None:
+                cluster.join(node)
+                candidates = cluster.outside(most())
                 continue
-            return result(members, outlier, True) if len(members) >= options.min_result else result([], set(), False)
+        if cluster.shrink():
+            outlier -= set(cluster.order)
+            candidates = cluster.outside(most())
+        phi = cluster.phi()
+        if not _close(phi, start, options.diff_ratio) and rounds < options.max_rounds:
+            start, rounds = phi, rounds + 1
+            continue
+        return now(cluster.size >= options.min_result), [], False
+
 
-    return compute
+STATE = "members array<bigint>, outlier array<bigint>, candidates array<bigint>, rounds int, start double, begun boolean, phi double, found boolean"
+FRESH = {"outlier": [], "candidates": [], "rounds": 0, "start": None, "begun": False, "phi": -1.0, "found": False}
 
 
-def clusters(graph: Graph, options: Focus = Focus(), dedupe: bool = False) -> DataFrame:
+def _grown(batches: Iterator[pd.DataFrame], shared: Any, options: Focus) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for vid, core in zip(batch["vid"], batch["core"], strict=True):
+            state, _, _ = advance(shared.value, {**FRESH, "members": [int(v) for v in core]}, options)
+            if state["found"]:
+                rows.append((vid, state["members"], state["outlier"], state["phi"]))
+        yield pd.DataFrame(rows, columns=["task_id", "members", "outlier", "phi"])
+
+
+def clusters(graph: Graph, options: Focus = Focus(), dedupe: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """members (in the order they joined), outlier (ascending), phi.
 
     Equal member lists count once; equal sets from different seeds stay apart, as their order differs,
     unless dedupe. An outlier may also be a member: only shrinking takes members off the outliers.
     """
-    near = neighbourhoods(graph)
-    none = F.array().cast("array<bigint>")
-    seeds = cores(near, options).select(
-        F.col("vid").alias("task_id"),
-        F.col("core").alias("pull"),
-        F.col("core").alias("members"),
-        none.alias("outlier"),
-        none.alias("candidates"),
-        F.lit(0).alias("rounds"),
-        F.lit(None).cast("double").alias("start"),
-        F.lit(False).alias("begun"),
-        F.lit(-1.0).alias("phi"),
-        F.lit(False).alias("found"),
-    )
-    done = run(seeds, near, make_compute(options)).where("found")
+    spark, unit = graph.edges.sparkSession, exact_unit(graph)
+    near = neighbourhoods(graph, unit)
+    seeds = cores(near, options)
+    if 32 * graph.edges.count() <= broadcast_bytes:
+        edges = graph.edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toArrow()
+        shared = spark.sparkContext.broadcast(Lists.of_edges(*[edges.column(c).to_numpy() for c in ("src", "dst", "weight")], unit))
+        parts = 4 * spark.sparkContext.defaultParallelism  # cores take long: deal them out evenly
+        done = seeds.repartition(parts, "vid").mapInPandas(lambda it: _grown(it, shared, options), "task_id long, members array<bigint>, outlier array<bigint>, phi double")
+    else:
+        fresh = [F.lit(None).cast("double").alias(c) if c == "start" else (F.array().cast("array<bigint>") if v == [] else F.lit(v)).alias(c) for c, v in FRESH.items()]
+        state = seeds.select(F.col("vid").alias("task_id"), F.col("core").alias("pull"), F.col("core").alias("members"), *fresh)
+        done = run(state, near, lambda state, front, interim: advance(Lists.of_front(front, unit), state, options)).where("found")
     key = F.sort_array("members") if dedupe else F.col("members")
     # Of equal lists that of the smallest seed stays.
     return done.groupBy(key.alias("_k")).agg(F.min(F.struct("task_id", "members", "outlier", "phi")).alias("m")).select("m.members", "m.outlier", "m.phi")
