@@ -1,14 +1,15 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Every paragraph is hashed by SHAKE-256 to a wide vector; a document's fingerprint is the sum of its
-paragraphs' vectors, lane by lane modulo 2**32. The sum does not depend on the order of paragraphs,
-and a paragraph is inserted or deleted by adding or subtracting its vector. Two parts make up the
-vector: WIDE lanes that every paragraph fills (equality), and LEVELS times BINS lanes for likeness. A
-paragraph fills the one bin that its hash picks in level 0, and the same in each further level with half
-the chance of the level before, so that level l holds about one in 2**l of the paragraphs. Likeness reads
-the first level whose bins are not crowded: the share of paragraphs of either document that both have,
-from how many bins are filled and how many differ. It does not sink with the length of documents
-until the last level is crowded, at about 2**(LEVELS - 1) * BINS paragraphs.
+paragraphs' vectors. The sum does not depend on the order of paragraphs, and a paragraph is inserted or
+deleted by adding or subtracting its vector. Two parts make up the vector: WIDE lanes modulo 2**32 that
+every paragraph fills (equality), and LEVELS times BINS lanes modulo 2**8 for likeness. For these a
+paragraph falls into pieces: its sentences, cut further to runs of RUN words, so that a text of one
+paragraph, too, is like its own edit. A piece fills the one bin that its hash picks in level 0, and the same in
+each further level with half the chance of the level before, so that level l holds about one in 2**l of the
+pieces. Likeness reads the first level whose bins are not crowded: the share of pieces of either document
+that both have, from how many bins are filled and how many differ. It does not sink with the length of
+documents until the last level is crowded, at about 2**(LEVELS - 1) * BINS pieces.
 
 A paragraph is a line with a character besides white space, without white space at its ends.
 
@@ -22,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import borders, range_of, read, text_of
 
-WIDE, BINS, LEVELS = 64, 64, 12
+WIDE, BINS, LEVELS = 32, 64, 14
 LANES = WIDE + BINS * LEVELS
+RUN = 8
+SENTENCE = re.compile(r"(?<=[.!?])\s+")
+#: A word of more than 64 characters (a text without spaces) counts as several.
+WORDS = re.compile(rf"\S{{1,64}}(?:\s+\S{{1,64}}){{0,{RUN - 1}}}")
 #: A level with more filled bins than this is crowded.
 CROWDED = 40
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -46,54 +52,69 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in map(str.strip, text.split("\n")) if p]
 
 
+def runs(paragraph: str) -> list[str]:
+    """The pieces of a paragraph."""
+    return [run for sentence in SENTENCE.split(paragraph) for run in WORDS.findall(sentence)]
+
+
 def vector(paragraph: str) -> np.ndarray:
     """The wide vector of one paragraph."""
-    raw = hashlib.shake_256(paragraph.encode("utf-8", "surrogatepass")).digest(4 * (WIDE + 2))
-    lanes = np.frombuffer(raw, "<u4")
-    out = np.zeros(LANES, np.uint32)
-    out[:WIDE] = lanes[:WIDE]
-    for level in range(int(_levels(lanes[WIDE : WIDE + 1])[0])):
-        out[WIDE + level * BINS + int(lanes[WIDE]) % BINS] = lanes[WIDE + 1]
+    return sums([[paragraph]])[0]
+
+
+def reduced(lanes: np.ndarray) -> np.ndarray:
+    """Lanes modulo their powers: 2**32 (of themselves) and, of likeness, 2**8."""
+    out = lanes.astype(np.uint32)
+    out[..., WIDE:] &= np.uint32(0xFF)
     return out
 
 
+def written(fingerprint: np.ndarray) -> str:
+    """Hex digits of the WIDE lanes in four bytes each and the others in one."""
+    return (fingerprint[:WIDE].astype("<u4").tobytes() + fingerprint[WIDE:].astype(np.uint8).tobytes()).hex()
+
+
 def _levels(lane: np.ndarray) -> np.ndarray:
-    """How many levels hold each paragraph: one more than the zeros that end the part of its lane above the bin."""
+    """How many levels hold each piece: one more than the zeros that end the part of its lane above the bin."""
     rest = (lane // BINS) | np.uint32(1 << (LEVELS - 1))
     return np.log2(rest & -rest).astype(np.int64) + 1
 
 
 def sums(lists: list[list[str]]) -> np.ndarray:
     """The sum of the vectors of each list; all lists' paragraphs are handled together."""
-    size = 4 * (WIDE + 2)
-    raw = b"".join(hashlib.shake_256(p.encode("utf-8", "surrogatepass")).digest(size) for ps in lists for p in ps)
-    lanes = np.frombuffer(raw, "<u4").reshape(-1, WIDE + 2)
-    owner = np.repeat(np.arange(len(lists)), [len(ps) for ps in lists])
     out = np.zeros((len(lists), LANES), np.uint32)
-    full = np.flatnonzero(np.array([len(ps) for ps in lists], dtype=np.int64))
-    if len(full):
-        starts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-        out[full, :WIDE] = np.add.reduceat(lanes[:, :WIDE], starts, axis=0, dtype=np.uint32)
-        levels = _levels(lanes[:, WIDE])
-        for level in range(levels.max()):
-            held = np.flatnonzero(levels > level)
-            np.add.at(out, (owner[held], WIDE + level * BINS + lanes[held, WIDE] % BINS), lanes[held, WIDE + 1])
-    return out
+    raw = b"".join(hashlib.shake_256(p.encode("utf-8", "surrogatepass")).digest(4 * WIDE) for ps in lists for p in ps)
+    lanes = np.frombuffer(raw, "<u4").reshape(-1, WIDE)
+    sizes = np.array([len(ps) for ps in lists], dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return out
+    starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
+    out[full, :WIDE] = np.add.reduceat(lanes, starts, axis=0, dtype=np.uint32)
+    cut = [[r for p in ps for r in runs(p)] for ps in lists]
+    owner = np.repeat(np.arange(len(lists)), [len(rs) for rs in cut])
+    pairs = np.frombuffer(b"".join(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest() for rs in cut for r in rs), "<u4").reshape(-1, 2)
+    levels = _levels(pairs[:, 0])
+    flat = out.reshape(-1)
+    for level in range(int(levels.max(initial=0))):
+        held = np.flatnonzero(levels > level)
+        np.add.at(flat, owner[held] * LANES + WIDE + level * BINS + pairs[held, 0] % BINS, pairs[held, 1])
+    return reduced(out)
 
 
 def insert(fingerprint: np.ndarray, paragraph: str) -> np.ndarray:
-    return fingerprint + vector(paragraph)
+    return reduced(fingerprint + vector(paragraph))
 
 
 def delete(fingerprint: np.ndarray, paragraph: str) -> np.ndarray:
-    return fingerprint - vector(paragraph)
+    return reduced(fingerprint - vector(paragraph))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of fingerprints: the estimated share of paragraphs of either that both have; 1 if they are equal.
+    """Of rows of fingerprints: the estimated share of pieces of either that both have; 1 if they are equal.
 
-    With n paragraphs in m bins a bin stays empty with chance (1 - 1/m)**n, and agrees with the other's if
-    none of the paragraphs that differ falls in it; so each count is the logarithm of a share of bins.
+    With n pieces in m bins a bin stays empty with chance (1 - 1/m)**n, and agrees with the other's if
+    none of the pieces that differ falls in it; so each count is the logarithm of a share of bins.
     """
     x, y = (v[:, WIDE:].reshape(-1, LEVELS, BINS) for v in (a, b))
     filled = ((x != 0) | (y != 0)).sum(axis=2)
@@ -122,14 +143,14 @@ def _rows(ids: list, texts: list[str]) -> pa.RecordBatch:
         cut = a.rfind("\n", 0, len(a) - len(a) // 4) + 1
         out_of.append(paragraphs(a[cut:]))
         into.append(paragraphs(e[cut:]))
-    new = own[:-1] - sums(out_of) + sums(into)
+    new = reduced(own[:-1] - sums(out_of) + sums(into))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
             pa.array([len(t) for t in texts[:-1]], pa.int64()),
             pa.array([hashlib.sha256(e.encode()).hexdigest() for e in both], pa.string()),
-            pa.array([r.tobytes().hex() for r in own[:-1]], pa.string()),
-            pa.array([r.tobytes().hex() for r in new], pa.string()),
+            pa.array([written(r) for r in own[:-1]], pa.string()),
+            pa.array([written(r) for r in new], pa.string()),
             pa.array(likeness(own[:-1], new), pa.float64()),
             pa.array(likeness(own[:-1], own[1:]), pa.float64()),
         ],

@@ -43,6 +43,8 @@ ROWS, MISS = 6, 1e-6
 FAN = 16
 #: Classes of shingle hashes whose shared counts bound what a pair can share.
 CLASSES = 32
+#: Partners of a pivot that one task compares, and counts of larger pivots (12 bytes each) that are broadcast at most.
+PIVOT_ROWS, BROADCAST_PIVOTS = 256, 1_000_000
 #: Rows of (shingle, shift) that are mixed at a time, so that they stay in the CPU's cache.
 BLOCK = 256
 
@@ -116,13 +118,20 @@ def _nodes(docs: DataFrame, k: int, bands: int) -> DataFrame:
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, pivot) that are links by their full sets."""
-    goes = pairs.groupBy(F.col("a").alias("_id")).agg(F.collect_set("pivot").alias("_to"))
-    mine = sets.join(goes, sets["rep"] == goes["_id"]).select(F.col("rep").alias("a"), F.col("set").alias("_a"), "_to")
-    mine = mine.select("a", "_a", F.explode("_to").alias("pivot"))
-    at = pairs.select(F.col("pivot").alias("_p")).distinct()
-    theirs = sets.join(at, sets["rep"] == at["_p"]).select("_p", F.col("set").alias("_b"))
-    both = mine.join(theirs, mine["pivot"] == theirs["_p"])
+    """The pairs (a, pivot) that are links by their full sets.
+
+    A pivot with more than PIVOT_ROWS partners is dealt to several tasks, each with a copy of its set.
+    """
+    counts = pairs.groupBy(F.col("pivot").alias("_p")).agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("_salts"))
+    counts = materialise(counts, "nd-pivots")
+    many = counts.where("_salts > 1")
+    many = F.broadcast(many) if many.count() <= BROADCAST_PIVOTS else many
+    salted = pairs.join(many, pairs["pivot"] == many["_p"], "left").select("a", "pivot", F.pmod(F.xxhash64("a"), F.coalesce("_salts", F.lit(1))).cast("int").alias("salt"))
+    goes = salted.groupBy(F.col("a").alias("_id")).agg(F.collect_set(F.struct("pivot", "salt")).alias("_to"))
+    mine = sets.join(goes, sets["rep"] == goes["_id"]).select(F.col("rep").alias("a"), F.col("set").alias("_a"), F.explode("_to").alias("_t"))
+    mine = mine.select("a", "_a", F.col("_t.pivot").alias("pivot"), F.col("_t.salt").alias("salt"))
+    theirs = sets.join(counts, sets["rep"] == counts["_p"]).select("_p", F.col("set").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_s"))
+    both = mine.join(theirs, (mine["pivot"] == theirs["_p"]) & (mine["salt"] == theirs["_s"]))
     shared = both.select("a", "pivot", F.size(F.array_intersect("_a", "_b")).cast("long").alias("i"), (F.size("_a") + F.size("_b")).cast("long").alias("s"))
     return shared.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "pivot").distinct()
 

@@ -9,7 +9,8 @@ equal words at other places are segmented in other ways. Rate 0 gives the librar
 Pieces hold a space mark at their start only, so a text falls into chunks (spaces and what follows)
 that are encoded independently: numpy runs the agendas of some 100,000 chunks side by side, one
 merge a chunk and step, with each pair's piece found in a two-choice hash table. Chunks of more than
-LONG symbols take a heap instead. Memory is bounded by WINDOW, however long a text is.
+LONG symbols take a heap instead. Texts are encoded in groups of some 2 * WINDOW characters, so memory
+grows with the longest single text (about 60 bytes a character), not with the batch.
 
 Decoding is lossless for every text: characters without a piece, and a literal U+2581, are written
 as byte pieces; the space put before a text is taken off again.
@@ -38,6 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 42
 SPACE, NONE = "▁", 1 << 30
 LONG, WINDOW = 192, 1 << 16
+#: Ranks take 20 bits of a table entry, and pairs of pieces the other 43.
+MAX_PIECES = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>, lossless boolean"
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -48,6 +51,8 @@ class Vocabulary:
     def __init__(self, proto: bytes):
         model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = self.size = model.get_piece_size()
+        if n > MAX_PIECES:
+            raise ValueError(f"a vocabulary of {n} pieces: at most {MAX_PIECES} fit the table of pairs")
         pieces = [model.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         ids = {pieces[i]: i for i in plain}
@@ -67,11 +72,11 @@ class Vocabulary:
             for at in range(1, len(piece)):
                 left, right = ids.get(piece[:at]), ids.get(piece[at:])
                 if left is not None and right is not None:
-                    pairs[left << 16 | right] = rank[i]
+                    pairs[left * n + right] = rank[i]
         self._build(pairs)
 
     def _build(self, pairs: dict[int, int]) -> None:
-        """Two-choice (cuckoo) table: each key lies in one of two slots, as key << 20 | rank."""
+        """Two-choice (cuckoo) table: each key (left * size + right) lies in one of two slots, as key << 20 | rank."""
         bits = max(8, (4 * len(pairs)).bit_length() - 1)
         while True:
             self.bits, slots = bits, [-1] * (2 << bits)
@@ -81,7 +86,8 @@ class Vocabulary:
         self.slots = np.array(slots, np.int64)
 
     def _two(self, key: int) -> tuple[int, int]:
-        return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits), (1 << self.bits) + ((key * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - self.bits))
+        low = (key ^ (key >> 32) * 0xC2B2AE35) & 0xFFFFFFFF
+        return (low * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits), (1 << self.bits) + ((low * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - self.bits))
 
     def _put(self, slots: list[int], entry: int) -> bool:
         at = self._two(entry >> 20)[0]
@@ -95,8 +101,8 @@ class Vocabulary:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that each pair makes, NONE if there is none (or a symbol is no piece)."""
-        key = (left.astype(np.int64) << 16) | right
-        low = key.astype(np.uint32)
+        key = left.astype(np.int64) * self.size + right
+        low = (key ^ (key >> 32) * 0xC2B2AE35).astype(np.uint32) if self.size > 1 << 16 else key.astype(np.uint32)
         shift = np.uint32(32 - self.bits)
         entry = self.slots[(low * np.uint32(0x9E3779B1)) >> shift]
         other = np.flatnonzero(entry >> 20 != key)
