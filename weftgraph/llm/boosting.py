@@ -81,10 +81,10 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float)
     return Split(f, at, _grow(x[low], g[low], h[low], depth - 1, rate), _grow(x[~low], g[~low], h[~low], depth - 1, rate))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3) -> Model:
-    """Logistic boosting on every other row; the rest calibrates the scores (Platt scaling)."""
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    train = np.arange(len(x)) % 2 == 0
+def fit(x: np.ndarray, y: np.ndarray, part: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3) -> Model:
+    """Logistic boosting on the rows of part 0; those of part 1 calibrate the scores (Platt scaling); others are left alone."""
+    x, y, part = np.asarray(x, float), np.asarray(y, float), np.asarray(part)
+    train, calibrate = part == 0, part == 1
     share = float(np.clip(y[train].mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(share / (1 - share)))
     raw, trees = np.full(train.sum(), bias), []
@@ -94,7 +94,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: fl
         trees.append(tree)
         raw += _values(tree, x[train])
     model = Model(bias, tuple(trees))
-    held, target = model.raw(x[~train]), y[~train]
+    held, target = model.raw(x[calibrate]), y[calibrate]
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps with a small ridge, so that separable rows stay finite
         p = 1 / (1 + np.exp(-(a * held + b)))
@@ -106,3 +106,16 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: fl
         if np.abs(step).max() < 1e-8:
             break
     return Model(bias, tuple(trees), a, b)
+
+
+def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """Between the scores that are to pass and those that are not: as many as keep the precision.
+
+    Half way from the lowest score that passes to the next lower one (to 0 if there is none), so that neither
+    side lies at the edge; 1 (nothing passes) if no score keeps the precision.
+    """
+    scores = np.unique(p)[::-1]
+    for i in range(len(scores) - 1, -1, -1):
+        if y[p >= scores[i]].mean() >= precision:
+            return float((scores[i] + (scores[i + 1] if i + 1 < len(scores) else 0.0)) / 2)
+    return 1.0

@@ -8,8 +8,10 @@ its format and its left and right context; a span is added if its calibrated pro
 the threshold of its kind and no base span and no better candidate overlaps it.
 
 The trees are fitted once a session on a bounded synthetic sample (SAMPLE texts, seeded) whose
-candidates and features come from the very expressions used on the corpus; scoring is a SQL
-expression. Nothing here runs Python on executors.
+candidates and features come from the very expressions used on the corpus. A third of the candidates
+grows the trees, a third calibrates their scores, and a third selects each kind's threshold: the lowest that
+keeps PRECISION there. Context is at most CONTEXT characters on either side, from the match before to the
+match after. Scoring is a SQL expression. Nothing here runs Python on executors.
 
 Positions are code points, ends exclusive. Defined cases: a null text is empty; a null doc_id is
 kept; repeated rows give one row each; an empty table gives no rows; other columns are ignored by
@@ -30,7 +32,7 @@ from .common import let, read, text_of, total, unpacked, whole, with_text
 
 #: Order of kinds in results: the base kinds first.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
-SAMPLE, SEED, PRECISION = 1500, 7, 0.99
+SAMPLE, SEED, PRECISION = 3000, 7, 0.99
 
 # The patterns equal the plain ones (see PLAIN) but are possessive and anchored at the starts of
 # runs, so that long texts take linear time and no recursion. \\G allows a start at a match's end.
@@ -61,13 +63,14 @@ GENERATORS = (
     ("secret", ASSIGNED),
     ("card", r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]{2,63}+(?:\x20?(?:[\[(](?i:dot)[\])]|\.)\x20?[A-Za-z]{2,20}+){1,4}+"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?i:at)[\])]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\.)[A-Za-z0-9-]*[A-Za-z])++"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])"),
 )
+#: Characters of context on either side.
+CONTEXT = 28
 #: A cheap necessary condition for a generator.
 GATES = {ASSIGNED: rf"{_NAMES}[\"']?\s{{0,2}}[:=]"}
-CONTEXT = 28
 
 
 def _digits(value: Column) -> Column:
@@ -176,6 +179,7 @@ def features(c: Column) -> list[Column]:
         (_count(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.length(v)).cast("double"),
         (_count(v, " .-()[]") / F.length(v)).cast("double"),
         (F.size(F.array_distinct(F.split(v, ""))) / F.length(v)).cast("double"),
+        ((F.size(F.split(v, "(?<=[a-z])(?=[A-Z0-9])")) - 1) / F.length(v)).cast("double"),
         near(r"(token|secret|passw|pwd|api.?key|auth|bearer|credential)"),
         near(r"[:=]\s*[\"']?$"),
         near(r"(phone|tel\b|call|mobile|fax|contact)"),
@@ -185,8 +189,6 @@ def features(c: Column) -> list[Column]:
     ]
 
 
-FEATURES = 14
-
 
 def _synthetic(n: int, seed: int) -> list[tuple[str, int, int]]:
     """(text, start, end) with one personal span, or start -1 if the inserted thing is harmless."""
@@ -212,53 +214,71 @@ def _synthetic(n: int, seed: int) -> list[tuple[str, int, int]]:
     def random_string(alphabet: str, low: int, high: int) -> str:
         return "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
 
-    hexes, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    names = ("token", "secret", "api_key", "password", "auth", "access_token", "credential")
+    hexes, letters = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    base64 = letters + "0123456789"
+    names = ("token", "secret", "api_key", "api-key", "password", "passwd", "pwd", "auth", "access_token", "credential", "client_secret", "private_key", "passphrase", "DB_PASSWORD", "SECRET_KEY")
+    pick = rng.choice
+
+    def assigned() -> tuple[str, str]:
+        """What stands before and after the value that a secret's name is given, in several notations."""
+        name, quote = pick(names), pick(('"', "'", ""))
+        if rng.random() < 0.3:
+            name = pick((name.upper(), name.capitalize(), f"{word()}_{name}"))
+        if rng.random() < 0.2:
+            return f'"{name}": "', '",'
+        return f"{pick(('', '', 'export ', 'my ', 'the ', '--'))}{name}{pick((' = ', '=', ': ', ' := ', ':'))}{quote}", quote
+
+    def identifier() -> str:
+        a, b, c = word(), word(), word()
+        return pick((a + b, (a + b).capitalize(), f"{a}_{b}", f"{a}-{b}", f"{a}.{b}", f"{a}_{b}_{c}", f"{a}{b.capitalize()}{c.capitalize()}", f"{a}/{b}/{c}", f"${a.upper()}_{b.upper()}", f"{a}_{b}2"))
 
     def made() -> tuple[str, str, str, bool]:
         """Left, span, right, and whether the span is personal."""
-        k = rng.randrange(18)
-        if k == 0:
-            quote = rng.choice(('"', "'", ""))
-            return f"{rng.choice(names)}{rng.choice((' = ', '=', ': '))}{quote}", random_string(rng.choice((hexes, base64)), 20, 64), quote, True
-        if k == 1:
-            return f"bearer{rng.choice((' ', ': '))}", random_string(base64, 24, 80), "", True
-        if k == 2:
-            return rng.choice(("", "card ", "visa: ")), with_luhn(rng.choice((14, 15, 16, 16, 16, 19)), True), "", True
-        if k == 3:
-            return rng.choice(("", "order ", "id ", "no. ")), with_luhn(rng.choice((13, 14, 15, 16, 16, 16)), False), "", False
-        if k == 4:
-            return rng.choice(("call ", "phone: ", "tel ", "mobile ", "fax: ")), f"({number(3)}) {number(3)}-{number(4)}" if rng.random() < 0.5 else f"{number(3)}-{number(3)}-{number(4)}", "", True
-        if k == 5:
-            return rng.choice(("version ", "part ", "no. ", "build ")), f"{number(3)}.{number(3)}.{number(4)}" if rng.random() < 0.5 else f"{number(3)} {number(3)}-{number(4)}", "", False
+        k = rng.randrange(22)
+        if k in (0, 1, 2):  # random values of all lengths and alphabets
+            left, right = assigned()
+            alphabet = pick((hexes, hexes, base64, base64 + "+/", letters, letters))
+            return left, random_string(alphabet, 13, pick((24, 40, 64, 600))) + pick(base64), right, True
+        if k == 3:  # short ones, with a digit, a capital and maybe signs
+            left, right = assigned()
+            mixed = [*random_string(base64 + "!@#$%&*_", 4, 12), pick("0123456789"), pick("ABCDEFGHKLMNPQRSTUVWXYZ"), pick(hexes)]
+            rng.shuffle(mixed)
+            return left, "".join(mixed[:-1]) + pick(base64), right, True
+        if k in (4, 5):  # names, paths and variables where a value might stand
+            left, right = assigned()
+            return left, identifier(), right, False
         if k == 6:
-            return "", f"{word()}.{word()} [at] {word()}xx [dot] com" if rng.random() < 0.5 else f"{word()}x(at){word()}xx(dot)org", "", True
-        if k == 7:
-            return rng.choice(("ssn ", "social security ", "ssn: ")), f"{number(3)}-{number(2)}-{number(4)}", "", True
+            return pick(("bearer ", "Bearer: ", "Authorization: Bearer ", "api key ", "secret ", "auth token ", "password is ")), random_string(base64, 24, 80), "", True
+        if k == 7:  # digests and identifiers of things
+            return pick(("commit ", "sha ", "sha1: ", "sha256=", "md5 ", "etag: ", "checksum ", "id ", "page/", "build ", "")), random_string(hexes, 32, 64), "", False
         if k == 8:
-            return rng.choice(("part ", "order ", "isbn ", "")), f"{number(3)}-{number(2)}-{number(4)}", "", False
-        if k == 9:
-            return rng.choice(("iban ", "account ", "")), f"{rng.choice(('DE', 'FR', 'ES', 'GB'))}{number(2)} {number(4)} {number(4)} {number(4)} {number(4)} {number(2)}", "", True
-        if k == 10:  # long identifiers without a secret's context
-            return "", "-".join(word() for _ in range(5)) + f"-{rng.randint(1, 99)}", "", False
-        if k == 11:
-            return rng.choice(("commit ", "sha ", "id ", "page/")), random_string(hexes, 40, 40), "", False
-        if k == 12:
-            return "", "=" * rng.randint(16, 60) + str(rng.randint(0, 9)), "", False
-        if k in (13, 14, 15, 16):
-            quote = rng.choice(('"', "'", ""))
-            assigned = f"{rng.choice(names)}{rng.choice((' = ', '=', ': '))}{quote}"
-            if k == 13:  # letters alone
-                return assigned, random_string(base64[:52], 10, 40), quote, True
-            if k == 14:  # short ones, with a digit, a capital and maybe signs
-                mixed = [*random_string(base64 + "!@#$%&*_", 4, 12), rng.choice("0123456789"), rng.choice("ABCDEFGHKLMNPQRSTUVWXYZ"), rng.choice(hexes)]
-                rng.shuffle(mixed)
-                return assigned, "".join(mixed[:-1]) + rng.choice(base64), quote, True
-            if k == 15:
-                return assigned, random_string(base64 + "+/", 120, 600) + rng.choice(base64), quote, True
-            plain = rng.choice((word() + word(), (word() + word()).capitalize(), f"{word()}_{word()}", f"{word()}-{word()}", f"{word()}.{word()}"))
-            return assigned, plain, quote, False
-        return rng.choice(("order = ", "page: ", "id=", "total: ")), number(rng.randint(16, 22)), "", False
+            return pick(("id ", "uuid: ", "", "part ")), "-".join(random_string(hexes, n, n) for n in (8, 4, 4, 4, 12)), "", False
+        if k == 9:  # long names without a secret's context
+            return "", pick(("-", "_")).join(word() for _ in range(5)) + f"-{rng.randint(1, 99)}", "", False
+        if k == 10:
+            return "", pick("=-_") * rng.randint(16, 60) + str(rng.randint(0, 9)), "", False
+        if k in (11, 12):
+            return pick(("", "", "card ", "visa: ", "pay with ", "cc ")), with_luhn(pick((14, 15, 16, 16, 16, 19)), True), "", True
+        if k in (13, 14):
+            return pick(("", "order ", "id ", "no. ", "tracking ", "timestamp: ", "isbn ", "total: ", "order = ", "page: ")), with_luhn(pick((13, 14, 15, 16, 16, 16, 19)), False), "", False
+        if k == 15:
+            grouped = pick((f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"{number(3)} {number(3)} {number(4)}"))
+            return pick(("call ", "phone: ", "tel ", "mobile ", "fax: ", "contact ", "call us at ", "Phone ")), grouped, "", True
+        if k == 16:
+            return pick(("version ", "part ", "no. ", "build ", "order ", "page ")), f"{number(3)}{pick('.-')}{number(3)}{pick('.-')}{number(4)}" if rng.random() < 0.5 else f"{number(3)} {number(3)}-{number(4)}", "", False
+        if k == 17:
+            at, dot = pick((" [at] ", "(at)", " (AT) ", "[at]")), pick((" [dot] ", "(dot)", ".", "[dot]"))
+            return pick(("", "mail ", "write to ")), f"{pick((word(), word() + '.' + word(), pick(letters[26:])))}{at}{word()}xx{dot}{pick(('com', 'org', 'de', 'co.uk'))}", "", True
+        if k == 18:
+            return pick(("ssn ", "social security ", "ssn: ", "social security number ")), f"{number(3)}-{number(2)}-{number(4)}", "", True
+        if k == 19:
+            return pick(("part ", "order ", "isbn ", "", "no. ")), f"{number(3)}-{number(2)}-{number(4)}", "", False
+        if k == 20:
+            groups = " ".join(number(4) for _ in range(rng.randint(3, 6)))
+            account = f"{pick(('DE', 'FR', 'ES', 'GB', 'IT', 'NL'))}{number(2)} {groups} {number(2)}"
+            return pick(("iban ", "account ", "", "pay to ", "IBAN: ")), account if rng.random() < 0.5 else account.replace(" ", ""), "", True
+        code = f"{random_string('ABCDEFGHJKLMNPQRSTUVWXYZ', 2, 2)}{number(2)}{random_string('ABCDEFGHJKLMNPQRSTUVWXYZ0123456789', 12, 20)}"
+        return pick(("part ", "order ", "build ", "version ", "no. ")), code, "", False
 
     rows = []
     for _ in range(n):
@@ -275,13 +295,11 @@ def _fitted(session: int, spark: SparkSession, sample: int, seed: int) -> tuple[
     inside = (F.col("s") >= 0) & (F.col("c.start") <= F.col("s")) & (F.col("c.end") >= F.col("e")) & (F.col("c.end") - F.col("c.start") <= F.col("e") - F.col("s") + 2)
     table = found.select(F.array(*features(F.col("c"))).alias("x"), inside.cast("int").alias("y"), F.col("c.kind").alias("kind")).orderBy("kind", "y", F.xxhash64("x")).collect()
     x, y, kinds = np.array([r.x for r in table]), np.array([r.y for r in table]), np.array([r.kind for r in table])
-    model = boosting.fit(x, y)
-    p, thresholds = model.probability(x), {}
-    for kind in range(len(KINDS)):  # the lowest threshold of at least one half that keeps the precision
-        mine, held = kinds == kind, np.arange(len(x)) % 2 == 1
-        grid = [t for t in np.linspace(0.5, 0.95, 10) if (y[mine & held & (p >= t)].mean() if (mine & held & (p >= t)).any() else 0) >= PRECISION]
-        thresholds[kind] = float(grid[0]) if grid else 0.95
-    return model, thresholds
+    part = np.arange(len(x)) % 3  # rows are in order of kind and truth, so every part has its share of each
+    model = boosting.fit(x, y, part)
+    p = model.probability(x)
+    thresholds = {kind: boosting.threshold(p[mine], y[mine], PRECISION) for kind in range(len(KINDS)) if (mine := (kinds == kind) & (part == 2)).any()}
+    return model, {kind: thresholds.get(kind, 1.0) for kind in range(len(KINDS))}
 
 
 def model_for(spark: SparkSession, sample: int = SAMPLE, seed: int = SEED) -> tuple[boosting.Model, dict[int, float]]:
@@ -337,10 +355,10 @@ def written(found: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, and all spans of every row."""
+    """doc_id, counts of base spans, and all spans and their number of every row."""
     found = docs.select("doc_id", spans(text_of("text"), docs.sparkSession).alias("_s"))
     counts = [F.size(F.filter("_s.base", _is(i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS[:4])]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("_s.base")), 256).alias("base_sha256"), written(F.col("_s.all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("_s.base")), 256).alias("base_sha256"), written(F.col("_s.all")).alias("spans"), F.size("_s.all").cast("long").alias("n_spans"))
 
 
 def _is(kind: int):
