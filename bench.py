@@ -1,4 +1,7 @@
-"""Times the headline graph queries and prints one line of JSON."""
+"""Times the headline graph queries and prints one line of JSON.
+
+The graph is derived from the tables and written once (graph_build); each query then starts from it.
+"""
 
 from __future__ import annotations
 
@@ -29,10 +32,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.queries()
     queries["degree_stats"](spark, sf_dir).collect()  # warms the JVM
-    took = {}
+    start = time.time()
+    graph = catalog.graph(spark, sf_dir)
+    took = {"graph_build": round(time.time() - start, 2)}
     for name in sys.argv[1:] or QUERIES:
         start = time.time()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        queries[name].on(graph).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 2)
     print(json.dumps({"metric": "total seconds of the headline queries", "value": round(sum(took.values()), 2), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir)}))
     spark.stop()

@@ -41,6 +41,10 @@ def test_subgraph():
     g.add_edge(1, 2)
     g.add_edge(1, 3)
     assert [n["id"] for n in g.nodes()] == [3, 1, 2] and g.get_node(1)["neighbours"] == [2, 3] and g.has_node(2)
+    assert g.set_node(2, "new")["neighbours"] == [1] and g.get_node(2)["attr"] == "new"
+    g.add_neighbour(2, 9)
+    g.add_neighbour(2, 9)
+    assert g.get_node(2)["neighbours"] == [1, 9] and not g.has_node(9)
     again = Subgraph.of(g.rows())
     again.del_edge(1, 3)
     again.del_node(2)

@@ -1,6 +1,7 @@
 """Tables in the folder that driver and executors share, to cut the lineage of loops.
 
-The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) one is made.
+The folder is the session's spark.checkpoint.dir; only where that is unset and all runs on one machine (as in
+tests) one is made.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weftgraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from abc import ABC, abstractmethod
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -43,6 +45,17 @@ class Subgraph:
     def get_node(self, vid: int) -> dict[str, Any] | None:
         return self._nodes.get(vid)
 
+    def set_node(self, vid: int, attr: Any = None) -> dict[str, Any]:
+        """Adds a node, or sets the attribute of the one that is there; its neighbours stay as they are."""
+        node = self.add_node(vid)
+        node["attr"] = attr
+        return node
+
+    def add_neighbour(self, vid: int, other: int) -> None:
+        """Lists other at vid alone, whether or not it is a node here."""
+        if other not in self._nodes[vid]["neighbours"]:
+            self._nodes[vid]["neighbours"].append(other)
+
     def nodes(self) -> list[dict[str, Any]]:
         return list(self._nodes.values())
 
@@ -77,14 +90,17 @@ class Aggregator(ABC):
         return value
 
     def over(self, finished: DataFrame) -> Any:
-        """The value over finished tasks: a fold in each partition, then a tree of merges."""
+        """The value over finished tasks: a fold in each partition, and merges of these partials on the driver."""
         start, step = self.initial, self.step
 
-        def fold(rows):
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = start()
-            for r in rows:
-                value = step(value, r.asDict(recursive=True))
-            yield value
-
-        partials = finished.rdd.mapPartitions(fold)
-        return self.finish(partials.treeReduce(self.merge) if partials.getNumPartitions() else start())
+            for batch in batches:
+                for state in batch.to_pylist():
+                    value = step(value, state)
+            yield pa.RecordBatch.from_pydict({"partial": pa.array([pickle.dumps(value)], pa.binary())})
+
+        value = start()
+        for row in finished.mapInArrow(fold, "partial binary").toLocalIterator():
+            value = self.merge(value, pickle.loads(row["partial"]))
+        return self.finish(value)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.minhash import signature
+from ..functions.shared import scratch_path
 from ..operators import cliques, focus, matching, partitioning, pregel, tasks, triangles
 from ..operators.graph import Graph
-from ..sources import tables
+from ..sources import adjacency, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 PARTS = 8
@@ -22,12 +23,21 @@ FOCUS = focus.Focus(min_weight=2.0, min_core=4, min_result=3, diff_ratio=0.001,
 VORONOI = partitioning.Voronoi(rate=0.01, max_hop=10, max_cell=600, max_rate=0.2)
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return tables.parts_bought_together(spark, sf_dir).stored()
 
 
-def _on_graph(make: Callable[[Graph], DataFrame]) -> Query:
-    return lambda spark, sf_dir: make(_graph(spark, sf_dir))
+class GraphQuery:
+    """A query of the tables by way of their graph; on() answers it on a graph that is there."""
+
+    def __init__(self, on: Callable[[Graph], DataFrame]):
+        self.on = on
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.on(graph(spark, sf_dir))
+
+
+_on_graph = GraphQuery
 
 
 def _degree_stats(g: Graph) -> DataFrame:
@@ -35,10 +45,6 @@ def _degree_stats(g: Graph) -> DataFrame:
     return d.agg(F.count("*").alias("vertices"), F.min("degree").alias("least"), F.max("degree").alias("most"), F.sum("degree").alias("total"))
 
 
-def _strong(g: Graph, weight: int) -> Graph:
-    return Graph(g.vertices, g.edges.where(F.col("weight") >= weight))
-
-
 def _hash_sizes(g: Graph) -> DataFrame:
     return partitioning.hash_parts(g.vertices, PARTS).groupBy("part_id").agg(F.count("*").alias("vertices"))
 
@@ -93,6 +99,82 @@ def _minhash(g: Graph) -> DataFrame:
     return signed.select("vid", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(4)])
 
 
+def _match_pairs(g: Graph) -> DataFrame:
+    """Matches of the pattern, counted by their ends a and d."""
+    return matching.match(g, matching.LABELS, matching.EDGES).groupBy("a", "d").agg(F.count("*").alias("matches"))
+
+
+def _near_labelled(g: Graph) -> DataFrame:
+    """vid, label, near: the vertices as pattern tasks pull them."""
+    pairs = matching.labelled(g).select(F.col("src").alias("_v"), F.struct(F.col("dst").alias("id"), F.col("dst_label").alias("label")).alias("n"))
+    near = pairs.groupBy("_v").agg(F.sort_array(F.collect_list("n")).alias("near"))
+    return g.vertices.select("vid", "label").join(near, F.col("vid") == F.col("_v")).drop("_v")
+
+
+def _gm_tasks(g: Graph) -> DataFrame:
+    return tasks.match_program(_near_labelled(g)).where("matches > 0").select(F.col("task_id").alias("a"), "matches")
+
+
+def _as_text(g: Graph, kind: str) -> str:
+    """The folder of the graph's raw text of a kind."""
+    pairs = matching.labelled(g) if kind == "label" else g.sym()
+    entry = {"label": F.struct(F.col("dst").alias("id"), F.col("dst_label").alias("label")), "multi_attr": F.struct(F.col("dst").alias("id"), F.col("weight").cast("double").alias("weight"))}.get(kind, F.col("dst"))
+    lists = pairs.select(F.col("src").alias("_v"), entry.alias("n")).groupBy("_v").agg(F.sort_array(F.collect_list("n")).alias("adj"))
+    path = scratch_path(g.edges.sparkSession, f"raw-{kind}")
+    adjacency.raw_lines(g.vertices.join(lists, F.col("vid") == F.col("_v"), "left").withColumn("adj", F.coalesce("adj", F.array().cast(lists.schema["adj"].dataType))), kind).write.text(path)
+    return path
+
+
+def _told(found: DataFrame, kind: str, *by: str) -> DataFrame:
+    """What a format carried, as sums: vertices, neighbours and their ids, and what else the kind has."""
+    ids = F.col("adj") if kind in ("normal", "attr") else F.transform("adj", lambda x: x["id"])
+
+    def sum_of(values):
+        return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    extra = {
+        "normal": F.lit(0).cast("long"),
+        "label": F.ascii("label").cast("long") + sum_of(F.transform("adj", lambda x: F.ascii(x["label"]).cast("long"))) if kind == "label" else None,
+        "attr": F.length(F.array_join("attrs", "")).cast("long") if "attr" in kind else None,
+        "multi_attr": F.length(F.array_join("attrs", "")).cast("long") + sum_of(F.transform("adj", lambda x: x["weight"].cast("long"))) if kind == "multi_attr" else None,
+    }[kind]
+    rows = found.select(F.lit(kind).alias("kind"), *by, "vid", F.size("adj").cast("long").alias("n"), sum_of(ids).alias("s"), extra.alias("e"))
+    return rows.groupBy("kind", *by).agg(F.count("*").alias("vertices"), F.sum("vid").alias("vid_sum"), F.sum("n").alias("neighbours"), F.sum("s").alias("id_sum"), F.sum("e").alias("extra_sum"))
+
+
+def _formats_raw(g: Graph) -> DataFrame:
+    """Each raw format written, loaded in blocks of bytes, and read back."""
+    spark, out = g.edges.sparkSession, None
+    for kind in adjacency.FORMATS:
+        path = scratch_path(spark, f"loaded-{kind}")
+        adjacency.load(spark, _as_text(g, kind), path, block_bytes=1 << 20)
+        one = _told(adjacency.read_raw(spark, path, kind), kind)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _formats_partitioned(g: Graph) -> DataFrame:
+    """Each format partitioned by hash from its raw text, and read back from the partitioned text."""
+    spark, out = g.edges.sparkSession, None
+    for kind in adjacency.FORMATS:
+        path = scratch_path(spark, f"parts-{kind}")
+        partitioning.partition(spark, f"{kind.removeprefix('multi_')}_hash", _as_text(g, kind), path, PARTS, multi_attr=kind == "multi_attr")
+        one = _told(adjacency.read_partitioned(spark, path, kind), kind, "part_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _neighbour_parts(g: Graph) -> DataFrame:
+    """Of the partitioned text's neighbour entries, how many lead from one partition to another."""
+    spark = g.edges.sparkSession
+    path = scratch_path(spark, "parts-exchange")
+    partitioning.partition(spark, "normal_hash", _as_text(g, "normal"), path, PARTS)
+    pair = F.split(F.trim(F.get(F.split("value", "\t"), F.lit(1))), " ")
+    own = F.get(F.split(F.get(F.split("value", "\t"), F.lit(0)), " "), F.lit(1)).cast("int").alias("part_id")
+    theirs = F.explode(F.transform(F.filter(pair, lambda x, i: i % 2 == 1), lambda x: x.cast("int"))).alias("near_part")
+    return spark.read.text(path).select("value", own).select("part_id", theirs).groupBy("part_id", "near_part").agg(F.count("*").alias("entries"))
+
+
 QUERIES: dict[str, Query] = {
     "degree_stats": _on_graph(_degree_stats),
     "edge_weights": _on_graph(lambda g: g.edges.groupBy("weight").agg(F.count("*").alias("edges"))),
@@ -103,13 +185,14 @@ QUERIES: dict[str, Query] = {
     "tc_tasks": _on_graph(_tc_tasks),
     "clustering": _on_graph(triangles.clustering),
     "k4_count": _on_graph(triangles.four_cliques),
-    "mc_size": _on_graph(lambda g: triangles.clique_levels(_strong(g, 2)).agg(F.max("size").alias("max_clique"))),
+    "mc_size": _on_graph(lambda g: triangles.clique_levels(g).agg(F.max("size").alias("max_clique"))),
     "mc_levels": _on_graph(triangles.clique_levels),
+    "mc_tasks": _on_graph(lambda g: tasks.clique_program(g.greater()).agg(F.max("size").alias("max_clique"))),
     "mc_bnb": _on_graph(cliques.max_clique),
     "gm_count": _on_graph(matching.count),
     "gm_matches_by_a": _on_graph(matching.counts_by_a),
-    "gm_match_strong": _on_graph(lambda g: matching.match(_strong(g, 2), matching.LABELS, matching.EDGES)),
-    "gm_match": _on_graph(lambda g: matching.match(g, matching.LABELS, matching.EDGES)),
+    "gm_match": _on_graph(_match_pairs),
+    "gm_tasks": _on_graph(_gm_tasks),
     "label_nb_counts": _on_graph(matching.neighbour_labels),
     "cd_seeds": _on_graph(_cd_seeds),
     "cd_exact_triangles": _on_graph(cliques.common_attribute_triangles),
@@ -118,10 +201,13 @@ QUERIES: dict[str, Query] = {
     "phi_scores": _on_graph(lambda g: focus.core_conductance(g, FOCUS)),
     "fco_topk_candidates": _on_graph(lambda g: focus.first_candidates(g, FOCUS)),
     "fco_clusters": _on_graph(lambda g: focus.clusters(g, FOCUS)),
+    "fco_sizes": _on_graph(lambda g: focus.size_histogram(focus.clusters(g, FOCUS))),
+    "formats_raw": _on_graph(_formats_raw),
+    "formats_partitioned": _on_graph(_formats_partitioned),
+    "neighbour_parts": _on_graph(_neighbour_parts),
     "hash_partition_sizes": _on_graph(_hash_sizes),
     "hash_cut_stats": _on_graph(lambda g: partitioning.cut_statistics(g, partitioning.hash_parts(g.vertices, PARTS))),
-    "cc_hashmin": _on_graph(lambda g: partitioning.components(_strong(g, 2))),
-    "cc_parts": _on_graph(partitioning.components),
+    "cc_hashmin": _on_graph(partitioning.components),
     "cc_nations": _nation_components,
     "pregel_hops": _on_graph(_pregel_reach),
     "block_info": _on_graph(_block_info),
@@ -160,16 +246,28 @@ def _minhash_sql() -> str:
     return f"WITH {_E} SELECT src AS vid, {columns} FROM e GROUP BY src"
 
 
-def _cliques_sql(weight: int) -> str:
-    return f"""WITH RECURSIVE {_E}, f AS (SELECT * FROM e WHERE weight >= {weight}), g AS (SELECT src, list(dst) AS gt FROM f GROUP BY src),
+def _cliques_sql(result: str) -> str:
+    return f"""WITH RECURSIVE {_E}, g AS (SELECT src, list(dst) AS gt FROM e GROUP BY src),
 q(k, cand) AS (SELECT 1, gt FROM g UNION ALL SELECT q.k + 1, list_intersect(q.cand, coalesce(g.gt, []::BIGINT[]))
   FROM (SELECT k, cand, unnest(cand) AS x FROM q WHERE len(cand) > 0) q LEFT JOIN g ON g.src = q.x)
-SELECT CAST(max(k) AS INTEGER) AS max_clique FROM q"""
+{result}"""
+
+
+#: Labels that are still to sink, each vertex once; it ends when none does.
+_COMPONENTS = """c(vid, component) USING KEY (vid) AS (SELECT vid, vid FROM v UNION SELECT s.dst, min(c.component) FROM c JOIN s ON s.src = c.vid JOIN recurring.c o ON o.vid = s.dst WHERE c.component < o.component GROUP BY s.dst)"""
 
 
-def _components_sql(edges: str) -> str:
-    """vid, component of the edges' ends, by reachability."""
-    return f"r(vid, to_) AS (SELECT src, dst FROM {edges} UNION SELECT r.vid, x.dst FROM r JOIN {edges} x ON x.src = r.to_)"
+def _formats_sql(by: str = "") -> str:
+    """What _told() sums for all four kinds."""
+    group = f", {by} AS part_id" if by else ""
+    x = f"""x AS (SELECT v.vid{group}, sum(ascii(o.label)) + any_value(ascii(v.label)) AS labels, any_value(len(array_to_string(v.attrs, ''))) AS attrs, sum(s.weight) AS weights,
+  count(s.dst) AS n, sum(s.dst) AS ids FROM v LEFT JOIN s ON s.src = v.vid LEFT JOIN v o ON o.vid = s.dst GROUP BY v.vid)"""
+    part = ", part_id" if by else ""
+    rows = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind{part}, count(*) AS vertices, CAST(sum(vid) AS BIGINT) AS vid_sum, CAST(sum(n) AS BIGINT) AS neighbours, CAST(sum(ids) AS BIGINT) AS id_sum, CAST(sum({extra}) AS BIGINT) AS extra_sum FROM x GROUP BY ALL"
+        for kind, extra in (("normal", "0"), ("label", "labels"), ("attr", "attrs"), ("multi_attr", "attrs + weights"))
+    )
+    return f"WITH {_E}, {x} {rows}"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -179,26 +277,31 @@ ORACLE_SQL: dict[str, str] = {
     "tc_per_seed": f"WITH {_E}, {_T} SELECT a AS vid, count(*) AS triangles FROM t GROUP BY a",
     "clustering": f"WITH {_E}, {_T}, {_PV}, d AS (SELECT src AS vid, count(*) AS degree FROM s GROUP BY src HAVING count(*) >= 2) SELECT vid, degree, coalesce(triangles, 0) AS triangles, 2.0::DOUBLE * coalesce(triangles, 0) / (degree * (degree - 1)) AS coefficient FROM d LEFT JOIN pv USING (vid)",
     "k4_count": f"WITH {_E}, {_T}, g AS (SELECT src, list(dst) AS gt FROM e GROUP BY src) SELECT CAST(coalesce(sum(len(list_intersect(list_intersect(x.gt, y.gt), z.gt))), 0) AS BIGINT) AS four_cliques FROM t JOIN g x ON x.src = a JOIN g y ON y.src = b JOIN g z ON z.src = c",
-    "mc_size": _cliques_sql(2),
-    "mc_bnb": _cliques_sql(1),
+    "mc_levels": _cliques_sql("SELECT CAST(k AS INTEGER) AS size, count(*) AS cliques FROM q WHERE k > 1 GROUP BY k UNION ALL SELECT 1, count(*) FROM v"),
     "gm_count": f"WITH {_E}, {_GM} SELECT CAST(coalesce(sum(matches), 0) AS BIGINT) AS matches FROM m",
     "gm_matches_by_a": f"WITH {_E}, {_GM} SELECT a, CAST(matches AS BIGINT) AS matches FROM m WHERE matches > 0",
-    "gm_match_strong": f"WITH {_E}, w AS (SELECT s.src, s.dst, x.label AS ls, y.label AS ld FROM s JOIN v x ON x.vid = s.src JOIN v y ON y.vid = s.dst WHERE weight >= 2) SELECT p.src AS a, p.dst AS b1, q.dst AS c, y.dst AS b2, z.dst AS d FROM w p JOIN w q ON q.src = p.src AND q.ls = 'a' AND q.ld = 'c' JOIN w x ON x.src = q.dst AND x.dst = p.dst JOIN w y ON y.src = q.dst AND y.ld = 'b' AND y.dst <> p.dst JOIN w z ON z.src = y.dst AND z.ld = 'd' WHERE p.ls = 'a' AND p.ld = 'b'",
+    "gm_match": f"WITH {_E}, l AS (SELECT s.src, s.dst, x.label AS ls, y.label AS ld FROM s JOIN v x ON x.vid = s.src JOIN v y ON y.vid = s.dst), m AS (SELECT ab.src AS a, ac.dst AS c, ab.dst AS b1 FROM l ab JOIN l ac ON ab.src = ac.src AND ac.ls = 'a' AND ac.ld = 'c' JOIN l cb ON cb.src = ac.dst AND cb.dst = ab.dst WHERE ab.ls = 'a' AND ab.ld = 'b'), n AS (SELECT a, x.dst AS b2, count(*) AS n FROM m JOIN l x ON x.src = m.c AND x.ld = 'b' AND x.dst <> m.b1 GROUP BY ALL) SELECT a, y.dst AS d, CAST(sum(n) AS BIGINT) AS matches FROM n JOIN l y ON y.src = n.b2 AND y.ld = 'd' GROUP BY ALL",
     "label_nb_counts": f"WITH {_E} SELECT src AS vid, label, count(*) AS neighbours FROM s JOIN v ON v.vid = s.dst GROUP BY src, label",
     "cd_seeds": f"WITH {_E}, d AS (SELECT src FROM s GROUP BY src HAVING count(*) > 1) SELECT e.src AS vid, CAST(count(*) AS INTEGER) AS candidates, CAST(any_value(len(attrs)) AS INTEGER) AS attrs FROM e JOIN d USING (src) JOIN v ON v.vid = e.src GROUP BY e.src HAVING count(*) >= 2",
-    "cd_exact_triangles": f"WITH {_E}, {_T} SELECT a, b, c, CAST(len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) AS INTEGER) AS n_common FROM t JOIN v x ON x.vid = a JOIN v y ON y.vid = b JOIN v z ON z.vid = c WHERE len(list_intersect(list_intersect(x.attrs, y.attrs), z.attrs)) > 0",
+    "cd_exact_triangles": f"WITH {_E}, f AS (SELECT src, dst, list_intersect(x.attrs, y.attrs) AS both FROM e JOIN v x ON x.vid = src JOIN v y ON y.vid = dst WHERE list_has_any(x.attrs, y.attrs)), t AS (SELECT x.src AS a, x.dst AS b, y.dst AS c, list_intersect(x.both, y.both) AS common FROM f x JOIN f y ON x.dst = y.src JOIN f z ON z.src = x.src AND z.dst = y.dst) SELECT a, b, c, CAST(len(common) AS INTEGER) AS n_common FROM t WHERE len(common) > 0",
     "fco_seed_cores": f"WITH {_E}, {_CORE} SELECT vid, CAST(core_size AS INTEGER) AS core_size FROM sz",
     "phi_scores": f"WITH {_E}, {_CORE}, x AS (SELECT c.vid, c.core_size, sum(CASE WHEN i.m IS NULL THEN s.weight ELSE 0 END) AS cut, sum(CASE WHEN i.m IS NOT NULL AND c.m < s.dst THEN s.weight ELSE 0 END) AS inside FROM core c JOIN s ON s.src = c.m LEFT JOIN core i ON i.vid = c.vid AND i.m = s.dst GROUP BY c.vid, c.core_size) SELECT vid, CAST(core_size AS INTEGER) AS core_size, CAST(cut AS DOUBLE) AS cut, CAST(inside AS DOUBLE) AS \"inner\", CASE WHEN inside <> 0 THEN CAST(cut AS DOUBLE) / CAST(inside AS DOUBLE) ELSE -1.0::DOUBLE END AS phi FROM x",
     "fco_topk_candidates": f"WITH {_E}, {_CORE}, f AS (SELECT c.vid, c.core_size, s.dst AS candidate, min(spot) AS spot, CAST(arg_min(s.weight, spot) AS DOUBLE) AS weight FROM core c JOIN s ON s.src = c.m WHERE NOT EXISTS (SELECT 1 FROM core i WHERE i.vid = c.vid AND i.m = s.dst) GROUP BY c.vid, c.core_size, s.dst), r AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY weight DESC, spot, candidate) AS place FROM f) SELECT vid, candidate, weight, CAST(place AS INTEGER) AS place FROM r WHERE place <= floor({FOCUS.candidates} * core_size)",
     "hash_partition_sizes": f"SELECT CAST(abs(p_partkey) % {PARTS} AS INTEGER) AS part_id, count(*) AS vertices FROM part GROUP BY 1",
     "hash_cut_stats": f"WITH {_E}, x AS (SELECT * FROM e WHERE src % {PARTS} <> dst % {PARTS}) SELECT (SELECT count(*) FROM x) AS cross_edges, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT u) FROM (SELECT src AS u FROM x UNION ALL SELECT dst FROM x)) AS boundary_vertices, (SELECT count(*) FROM v) AS vertices",
-    "cc_hashmin": f"WITH RECURSIVE {_E}, w AS (SELECT src, dst FROM s WHERE weight >= 2), {_components_sql('w')} SELECT v.vid, least(v.vid, coalesce(min(to_), v.vid)) AS component FROM v LEFT JOIN r ON r.vid = v.vid GROUP BY v.vid",
+    "cc_hashmin": f"WITH RECURSIVE {_E}, {_COMPONENTS} SELECT vid, component FROM c",
+    "formats_raw": _formats_sql(),
+    "formats_partitioned": _formats_sql(f"CAST(any_value(abs(v.vid) % {PARTS}) AS INTEGER)"),
+    "neighbour_parts": f"WITH {_E} SELECT CAST(src % {PARTS} AS INTEGER) AS part_id, CAST(dst % {PARTS} AS INTEGER) AS near_part, count(*) AS entries FROM s GROUP BY ALL",
     "cc_nations": "SELECT -1 - CAST(c_nationkey AS BIGINT) AS component, count(*) + 1 AS vertices FROM customer GROUP BY c_nationkey",
     "pregel_hops": f"WITH RECURSIVE {_E}, h(vid, n) AS (SELECT min(vid), 0 FROM v UNION SELECT s.dst, h.n + 1 FROM h JOIN s ON s.src = h.vid WHERE h.n < 6), d AS (SELECT vid, min(n) AS n FROM h GROUP BY vid) SELECT CAST(coalesce(n, -1) AS INTEGER) AS hops, count(*) AS vertices FROM v LEFT JOIN d USING (vid) GROUP BY 1",
     "block_info": f"WITH {_E}, n AS (SELECT src % 37 AS color, dst % 37 AS other FROM s UNION SELECT vid % 37, vid % 37 FROM v) SELECT v.vid % 37 AS color, count(DISTINCT v.vid) AS size, count(DISTINCT other) AS n_neighbours FROM v JOIN n ON n.color = v.vid % 37 GROUP BY 1",
     "block_histogram": "SELECT CAST(length(CAST(size AS VARCHAR)) AS INTEGER) AS digits, count(*) AS blocks FROM (SELECT p_partkey % 37, count(*) AS size FROM part GROUP BY 1) GROUP BY 1",
     "minhash_signatures": _minhash_sql(),
 }
+for _name in ("mc_size", "mc_bnb", "mc_tasks"):
+    ORACLE_SQL[_name] = _cliques_sql("SELECT CAST(max(k) AS INTEGER) AS max_clique FROM q")
+ORACLE_SQL["gm_tasks"] = ORACLE_SQL["gm_matches_by_a"]
 for _name in ("tc_array", "tc_join", "tc_tasks"):
     ORACLE_SQL[_name] = f"WITH {_E}, {_T} SELECT count(*) AS triangles FROM t"
 

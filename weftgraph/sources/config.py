@@ -45,3 +45,17 @@ def load(path: str) -> JobOptions:
                 known[name] = found.pop(key)
     threads = known.get("threads")
     return JobOptions(known.get("input"), known.get("output"), known.get("force", "true").lower() in ("1", "true", "yes", "on"), int(threads) if threads else None, found)
+
+
+def hosts(path: str) -> list[tuple[str, int]]:
+    """(name, port) of every line ``name:port``; blank lines and what follows a # are skipped.
+
+    Spark finds its executors by itself: the list is there for jobs that start a cluster from it.
+    """
+    found = []
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, colon, port = line.split("#")[0].strip().rpartition(":")
+            if colon:
+                found.append((name, int(port)))
+    return found
