@@ -167,6 +167,17 @@ def test_near_groups(spark):
         assert got == plain_groups(rows, k, percent)
 
 
+def test_near_groups_with_pivots_in_several_places(spark, monkeypatch):
+    """The way for more pivots than are broadcast, with buckets of more than MEMBERS rows."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 7)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[: 140 + i % 7], *(f"e{i}x{j}" for j in range(i % 5))]), "s") for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(documents(spark, rows), 3, 85).collect()}
+    assert got == plain_groups(rows, 3, 85)
+
+
 def test_near_dedup_of_awkward_rows(spark):
     docs = documents(spark)
     got = near_dedup.groups(docs, 3, 85).collect()

@@ -45,6 +45,8 @@ FAN = 16
 CLASSES = 32
 #: Partners of a pivot that one task compares, and counts of larger pivots (12 bytes each) that are broadcast at most.
 PIVOT_ROWS, BROADCAST_PIVOTS = 256, 1_000_000
+#: Members of a bucket that meet its pivots in one task, pairs for which another task pays, and pivots (about 200 bytes each) that are broadcast at most.
+MEMBERS, TASK_PAIRS, BROADCAST_ROWS = 1024, 20_000, 100_000
 #: Rows of (shingle, shift) that are mixed at a time, so that they stay in the CPU's cache.
 BLOCK = 256
 
@@ -155,6 +157,22 @@ def _most_shared(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("long")))
 
 
+def _compared(still: DataFrame, pivots: DataFrame, on: Column, work: int) -> DataFrame:
+    """still joined with the pivots of each row's bucket.
+
+    The rows are small and their pairs many, so tasks are dealt by pairs, not by bytes: members are spread
+    over tasks that all have the pivots if those are few (counted), and else a bucket of more than MEMBERS
+    rows meets copies of its pivots in several places.
+    """
+    if still.where("pivot").count() <= BROADCAST_ROWS:
+        most = int(still.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return still.repartition(max(1, min(most, work // TASK_PAIRS)), "key", "rep").join(F.broadcast(pivots), on)
+    places = F.ceil(F.col("_m") / MEMBERS).cast("int")
+    copied = pivots.withColumn("_place", F.explode(F.sequence(F.lit(0), places - 1)))
+    place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / MEMBERS)).cast("int")
+    return still.withColumn("place", place).join(copied, on & (F.col("place") == F.col("_place")))
+
+
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """vid, component after adding links to the components known so far."""
     if labels is None:
@@ -185,7 +203,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     while True:
         state = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(1 - F.col("s") / F.col("n"), "rep")).alias("f"), F.count("*").alias("m"), F.min("n").alias("least")).where("lo < hi")
         state = materialise(state.select(F.col("key").alias("_key"), F.col("f.rep").alias("first"), "m", "least"), "nd-open")
-        if state.isEmpty():
+        tried = F.least(F.col("m"), F.lit(FAN**depth))
+        work = state.agg(F.sum(F.col("m").cast("double") * tried)).first()[0]
+        if work is None:
             discard(state, buckets)
             break
         chance = F.pmod(F.xxhash64("key", "rep", F.lit(depth)), F.lit(1 << 30)) < F.lit(float(FAN**depth * (1 << 30))) / F.col("m")
@@ -193,8 +213,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         # A partner has at least `least` shingles, and at most s of them are shared.
         hopeful = 100 * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s"))
         still = buckets.join(state, F.col("key") == F.col("_key")).where(hopeful | is_pivot)
-        still = materialise(still.select("key", "rep", "n", "s", "classes", "label", is_pivot.alias("pivot")), "nd-still")
-        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("classes").alias("_classes"), F.col("label").alias("_label"))
+        still = materialise(still.select("key", "rep", "n", "s", "classes", "label", "m", is_pivot.alias("pivot")), "nd-still")
+        pivots = still.where("pivot").select(F.col("key").alias("_key"), F.col("rep").alias("_rep"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("classes").alias("_classes"), F.col("label").alias("_label"), F.col("m").alias("_m"))
         most = F.least("s", "_s")
         fits = 100 * most >= percent * (F.col("n") + F.col("_n") - most)
         finer = _most_shared(F.col("classes"), F.col("_classes"))
@@ -202,10 +222,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         # A pair of two pivots is met from both sides; the smaller id is then the pivot.
         once = ~F.col("pivot") | (F.col("rep") > F.col("_rep"))
         on = (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_label")) & once & fits & fits_finely
-        pairs = still.join(pivots, on).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
+        pairs = _compared(still, pivots, on, int(work)).select(F.col("rep").alias("a"), F.col("_rep").alias("pivot")).distinct()
         pairs = materialise(pairs, "nd-pairs")
         links = materialise(_confirmed(sets, pairs, percent), "nd-links")
-        rest = still.where("NOT pivot").drop("pivot")
+        rest = still.where("NOT pivot").drop("pivot", "m")
         if not links.isEmpty():
             labels = materialise(_merged(labels, links), "nd-labels")
         if labels is not None:
