@@ -1,3 +1,5 @@
+import sys
+
 from pyspark.sql import functions as F
 
 from weftgraph.operators import tasks
@@ -33,6 +35,37 @@ def test_rounds_and_interim_aggregates(spark):
     assert got == {1: (1, -1), 2: (2, 1), 3: (3, 3), 4: (4, 6)}
 
 
+def test_one_frontier_at_a_time(spark):
+    """What Python holds during compute does not grow with the number of tasks in a partition."""
+    near = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct((i + F.col("id") * 1000).alias("id"), F.lit("b").alias("label")))
+    vertices = spark.range(200).select(F.col("id").alias("vid"), near.alias("near"))
+
+    def compute(state, front, interim):
+        met = [f["vid"] for f in front] == list(range(200)) and all(len(f["near"]) == 100 for f in front)
+        return {**state, "met": met, "blocks": sys.getallocatedblocks()}, [], False
+
+    def most(n):
+        seeds = spark.range(n).select(F.col("id").alias("task_id"), F.sequence(F.lit(0), F.lit(199)).cast("array<bigint>").alias("pull"), F.lit(False).alias("met"), F.lit(0).cast("long").alias("blocks"))
+        rows = tasks.run(seeds, vertices, compute).collect()
+        assert sorted(r.task_id for r in rows) == list(range(n)) and all(r.met for r in rows)
+        return max(r.blocks for r in rows)
+
+    assert most(48) < 1.4 * most(1)
+
+
+def test_states_of_all_kinds_and_pulls_of_unknown_or_repeated_vertices(spark):
+    vertices = spark.createDataFrame([(1, "x"), (2, None)], "vid long, name string")
+    seeds = spark.createDataFrame([(7, [2, 9, 1, 2], None, {"k": [1.5, None]}), (8, [], "é", None), (9, None, "", {"k": []})], "task_id long, pull array<long>, text string, s struct<k:array<double>>")
+
+    def compute(state, front, interim):
+        if state["task_id"] == 7 and len(front) == 3:
+            return {**state, "text": ",".join(str(f["name"]) for f in front)}, [1], True
+        return {**state, "text": f"{state['text']}|{len(front)}"}, [], False
+
+    got = {r.task_id: (r.text, r.s and r.s.k) for r in tasks.run(seeds, vertices, compute).collect()}
+    assert got == {7: ("None,x,None|1", [1.5, None]), 8: ("é|0", None), 9: ("|0", [])}
+
+
 def test_subgraph():
     g = Subgraph()
     for v in (3, 1, 2):
