@@ -1,5 +1,6 @@
 import sys
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftgraph.operators import tasks
@@ -66,6 +67,18 @@ def test_states_of_all_kinds_and_pulls_of_unknown_or_repeated_vertices(spark):
     assert got == {7: ("None,x,None|1", [1.5, None]), 8: ("é|0", None), 9: ("|0", [])}
 
 
+def test_plain_values_of_nested_columns():
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("w", pa.float64()), ("s", pa.string()), ("l", pa.list_(pa.int32()))]))
+    one = {"id": 1, "w": 0.5, "s": "é", "l": [1, None]}
+    column = pa.array([[one, None], None, [], [{**one, "id": None, "l": None}, {**one, "w": float("inf"), "s": None, "l": []}]], kind)
+    for low in range(5):
+        for n in range(5 - low):
+            part = column.slice(low, n)
+            assert tasks.plain(part) == part.to_pylist()
+            part = pa.array([{"x": v, "b": True} for v in column.to_pylist()] + [None]).slice(low, n)
+            assert tasks.plain(part) == part.to_pylist()
+
+
 def test_subgraph():
     g = Subgraph()
     for v in (3, 1, 2):
