@@ -60,4 +60,12 @@ def test_levels_of_a_large_clique_are_counted_not_listed(spark):
     g = graph_of(spark, list(itertools.combinations(range(n), 2)), n)
     assert {r["size"]: r.cliques for r in triangles.clique_levels(g).collect()} == {k: math.comb(n, k) for k in range(1, n + 1)}
     assert {r["size"]: r.cliques for r in triangles.clique_levels(g, 3).collect()} == {k: math.comb(n, k) for k in (1, 2, 3)}
-    assert triangles.four_cliques(g).first()[0] == math.comb(n, 4)
+    assert triangles.four_cliques(g).first()[0] == math.comb(n, 4) and cliques.max_clique(g).first()[0] == n
+
+
+def test_cliques_of_small_graphs(spark):
+    for edges, n, most in (([], 0, 0), ([], 3, 1), ([(0, 1), (1, 2)], 3, 2)):
+        g = graph_of(spark, edges, n)
+        assert cliques.max_clique(g).first()[0] == most
+        assert max((r["size"] for r in triangles.clique_levels(g).collect() if r.cliques), default=0) == most
+        assert triangles.four_cliques(g).first()[0] == 0 == triangles.count_by_joins(g).first()[0]
