@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import materialise
 from .graph import Graph
 from .tasks import run
 
@@ -67,6 +68,19 @@ def cores(near: DataFrame, options: Focus = Focus()) -> DataFrame:
     return near.select("vid", F.concat(F.array("vid"), heavy).alias("core")).where(F.size("core") >= options.min_core)
 
 
+def _weighted(graph: Graph) -> DataFrame:
+    return graph.sym().select("src", "dst", F.col("weight").cast("double").alias("weight"))
+
+
+def heavy_cores(graph: Graph, options: Focus = Focus()) -> DataFrame:
+    """What cores() gives of the graph's neighbourhoods, from its heavy edges alone."""
+    sym = _weighted(graph)
+    heavy = F.col("weight") >= options.min_weight
+    rows = sym.where(heavy) if options.min_core > 1 else sym  # a core of one needs no heavy edge
+    lists = rows.groupBy(F.col("src").alias("vid")).agg(F.sort_array(F.collect_list(F.when(heavy, F.col("dst")))).alias("h"))
+    return lists.select("vid", F.concat(F.array("vid"), "h").alias("core")).where(F.size("core") >= options.min_core)
+
+
 @dataclass(frozen=True)
 class Lists:
     """Neighbour lists as arrays. A vertex is named by its place among the ascending ids."""
@@ -318,8 +332,7 @@ def clusters(graph: Graph, options: Focus = Focus(), dedupe: bool = False, broad
     unless dedupe. An outlier may also be a member: only shrinking takes members off the outliers.
     """
     spark, unit = graph.edges.sparkSession, exact_unit(graph)
-    near = neighbourhoods(graph, unit)
-    seeds = cores(near, options)
+    seeds = heavy_cores(graph, options)
     if 32 * graph.edges.count() <= broadcast_bytes:
         edges = graph.edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toArrow()
         shared = spark.sparkContext.broadcast(Lists.of_edges(*[edges.column(c).to_numpy() for c in ("src", "dst", "weight")], unit))
@@ -328,7 +341,7 @@ def clusters(graph: Graph, options: Focus = Focus(), dedupe: bool = False, broad
     else:
         fresh = [F.lit(None).cast("double").alias(c) if c == "start" else (F.array().cast("array<bigint>") if v == [] else F.lit(v)).alias(c) for c, v in FRESH.items()]
         state = seeds.select(F.col("vid").alias("task_id"), F.col("core").alias("pull"), F.col("core").alias("members"), *fresh)
-        done = run(state, near, lambda state, front, interim: advance(Lists.of_front(front, unit), state, options)).where("found")
+        done = run(state, neighbourhoods(graph, unit), lambda state, front, interim: advance(Lists.of_front(front, unit), state, options)).where("found")
     key = F.sort_array("members") if dedupe else F.col("members")
     # Of equal lists that of the smallest seed stays.
     return done.groupBy(key.alias("_k")).agg(F.min(F.struct("task_id", "members", "outlier", "phi")).alias("m")).select("m.members", "m.outlier", "m.phi")
@@ -341,9 +354,8 @@ def size_histogram(found: DataFrame) -> DataFrame:
 
 def core_conductance(graph: Graph, options: Focus = Focus()) -> DataFrame:
     """vid, core_size, cut, inner, phi of every core, as joins."""
-    near = neighbourhoods(graph)
-    core = cores(near, options).select("vid", F.size("core").alias("core_size"), F.explode("core").alias("m"))
-    entries = near.select(F.col("vid").alias("m"), F.explode("adj").alias("e")).select("m", F.col("e.id").alias("n"), F.col("e.weight").alias("weight")).where("weight >= 0")
+    core = materialise(heavy_cores(graph, options), "fco-cores").select("vid", F.size("core").alias("core_size"), F.explode("core").alias("m"))
+    entries = _weighted(graph).select(F.col("src").alias("m"), F.col("dst").alias("n"), "weight").where("weight >= 0")
     each = core.join(entries, "m").join(core.select("vid", F.col("m").alias("n"), F.lit(True).alias("inside")), ["vid", "n"], "left")
     found = each.groupBy("vid", "core_size").agg(
         F.sum(F.when(F.col("inside").isNull(), F.col("weight")).otherwise(0.0)).alias("cut"),
@@ -357,9 +369,8 @@ def first_candidates(graph: Graph, options: Focus = Focus()) -> DataFrame:
 
     A candidate's weight is that of its first edge from the core (the seed's, then ascending ids).
     """
-    near = neighbourhoods(graph)
-    core = cores(near, options).select("vid", F.size("core").alias("core_size"), F.posexplode("core").alias("at", "m"))
-    entries = near.select(F.col("vid").alias("m"), F.explode("adj").alias("e")).select("m", F.col("e.id").alias("candidate"), F.col("e.weight").alias("weight")).where("weight > 0")
+    core = materialise(heavy_cores(graph, options), "fco-cores").select("vid", F.size("core").alias("core_size"), F.posexplode("core").alias("at", "m"))
+    entries = _weighted(graph).select(F.col("src").alias("m"), F.col("dst").alias("candidate"), "weight").where("weight > 0")
     each = core.join(entries, "m").join(core.select("vid", F.col("m").alias("candidate")), ["vid", "candidate"], "left_anti")
     first = each.groupBy("vid", "core_size", "candidate").agg(F.min(F.struct("at", "weight")).alias("f"))
     order = Window.partitionBy("vid").orderBy(F.desc("f.weight"), "f.at", "candidate")
